@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import mixing, quality, sharding
+from tidewheel.llm import decontaminate, mixing, near_dups, quality, sharding, suffix_dedup, urls, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_shard": sharding.op3_shard,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality": quality.op7_quality,
+    "op8_urls": urls.op8_urls,
+    "op9_near_dups": near_dups.op9_near_dups,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op3_shard": sharding.OP3_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_urls": urls.OP8_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
