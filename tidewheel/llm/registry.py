@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, mixing, near_dups, quality, sharding, suffix_dedup, urls, warc
+from tidewheel.llm import decontaminate, mixing, near_dups, quality, secrets, sharding, suffix_dedup, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_secrets": secrets.op2_secrets,
     "op3_shard": sharding.op3_shard,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
