@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, mixing, near_dups, quality, secrets, sharding, suffix_dedup, urls, warc
+from tidewheel.llm import decontaminate, fuzzy_lines, mixing, near_dups, quality, secrets, sharding, suffix_dedup, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_secrets": secrets.op2_secrets,
     "op3_shard": sharding.op3_shard,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_fuzzy_lines": fuzzy_lines.op5_fuzzy_lines,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality": quality.op7_quality,
     "op8_urls": urls.op8_urls,
