@@ -15,7 +15,7 @@ from tidewheel.llm.scratch import Scratch
 from tidewheel.llm.tables import table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Share of a group's documents that an estimate rests on, and concentration steps.
 CORE, STEPS = 0.75, 4
 #: Squared distance of rejection: the chi-squared quantile of 4 degrees of freedom at 1 - 1e-12.
@@ -28,39 +28,32 @@ LEAST = 40
 X = ("x1", "x2", "x3", "x4")
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; all 0 for null.
+def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines; all 0 for null.
 
-    Repeated 3-word windows: the hashes of all windows are sorted; only where
-    two neighbours agree are the places looked up, again by sorting.
+    Repeated 3-word windows: where the hashes of all windows are not distinct,
+    they are sorted with their places, and those equal to a neighbour name the
+    words.  Columns of these names are replaced.
     """
-    text = F.coalesce(text, F.lit(""))
-    words = F.array_remove(F.split(text, BLANK), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }
-
-
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts; columns of these names are replaced."""
-    docs = docs.withColumns(counts(F.col(text)))
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BLANK), "")
-    docs = docs.withColumn("_w", words)
-    n = F.size("_w")
-    # The windows of an array zipped with itself from its second and third word on.
-    docs = docs.withColumn("_h", F.when(n >= 3, F.transform(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, greatest(size(_w) - 1, 0))").alias("b"), F.expr("slice(_w, 3, greatest(size(_w) - 2, 0))").alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))))
-    docs = docs.withColumn("_h", F.expr("slice(_h, 1, greatest(size(_w) - 2, 0))"))
-    docs = docs.withColumn("_any", F.size("_h") > F.size(F.array_distinct("_h")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.withColumn("_w", F.array_remove(F.split(whole, BLANK), ""))
+    docs = docs.withColumn("_l", F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    docs = docs.withColumn("_h", F.slice(F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))), 1, F.greatest(F.size("_w") - 2, F.lit(0))))
+    docs = docs.withColumns({
+        "n_words": F.size("_w").cast("long"),
+        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"),
+        "n_lines": F.size("_l").cast("long"),
+        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "_any": F.size("_h") > F.size(F.array_distinct("_h")),
+    })
     pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     docs = docs.withColumn("_s", F.when(F.col("_any"), pairs))
-    twice = F.filter(F.arrays_zip(F.col("_s").alias("s"), F.expr("array_prepend(slice(_s, 1, size(_s) - 1), null)").alias("p"), F.expr("slice(_s, 2, size(_s))").alias("n")), lambda x: (x["s"]["h"] == x["p"]["h"]) | (x["s"]["h"] == x["n"]["h"]))
-    places = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["s"]["i"], x["s"]["i"] + 1, x["s"]["i"] + 2))))
+    h = lambda i: F.get("_s", i)["h"]
+    twice = F.filter("_s", lambda x, i: (x["h"] == h(i - 1)) | (x["h"] == h(i + 1)))
+    places = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     docs = docs.withColumn("n_repeat_words", F.when(F.col("_any"), F.size(places)).otherwise(0).cast("long"))
-    return docs.drop("_w", "_h", "_any", "_s")
+    return docs.drop("_w", "_l", "_h", "_any", "_s")
 
 
 def _mean_and_cov(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -125,8 +118,10 @@ def estimates(stats: DataFrame, by: list[str], core: float = CORE, steps: int =
     return work.store(_factors(now), "mcd").select(*by, *[f"u_{x}" for x in X], *FACTORS)
 
 
-def judged(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` with the counts, base_failed, distance2 and kept.
+def judged(docs: DataFrame, text: str = "text", cut: float = CUT, with_text: bool = True) -> DataFrame:
+    """``docs`` with the counts, base_failed, distance2 and kept; without the text, if so asked.
+
+    The counted table is written once to the shared folder, so each text is gone through once.
 
     A null or empty text has counts of 0 and fails the base rule.  Null
     languages and sources are groups like any other.  Groups of fewer than ``LEAST``
@@ -137,14 +132,16 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     """
     work = Scratch(docs.sparkSession)
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
-    counted = with_counts(docs, text)
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "n_lines")])
+    cols = [c for c in docs.columns if with_text or c != text]
+    made_now = [*made[:5], "n_lines"]
+    counted = work.store(with_counts(docs, text).select(*[F.col(f"`{c}`") for c in cols], *made_now), "counted")
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     counted = counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = counted.withColumns({
-        "x1": F.log(F.greatest(F.col("word_chars"), F.lit(1)).cast("double") / n),
-        "x2": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double")),
-        "x3": F.sqrt(F.col("n_dup_lines") / F.greatest(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")), F.lit(1)).cast("double")),
+        "x1": F.log(chars / n),
+        "x2": F.sqrt(F.col("n_symbols") / chars),
+        "x3": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double")),
         "x4": F.sqrt(F.col("n_repeat_words") / n),
     })
     counted = counted.withColumns({"g1": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g2": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
@@ -152,12 +149,12 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     sizes = stats.groupBy("g1", "g2").agg(F.count("*").alias("size"))
     fine = stats.join(sizes.where(F.col("size") >= LEAST).select("g1", "g2"), ["g1", "g2"], "left_semi")
     keys = sizes.select("g1", "g2")
-    cols = [f"u_{x}" for x in X] + FACTORS
-    own = estimates(fine, ["g1", "g2"]).select("g1", "g2", F.struct(*cols).alias("own"))
+    fields = [f"u_{x}" for x in X] + FACTORS
+    own = estimates(fine, ["g1", "g2"]).select("g1", "g2", F.struct(*fields).alias("own"))
     lang_size = stats.groupBy("g1").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST)
-    lang = estimates(stats.join(lang_size.select("g1"), "g1", "left_semi"), ["g1"]).select("g1", F.struct(*cols).alias("wide"))
+    lang = estimates(stats.join(lang_size.select("g1"), "g1", "left_semi"), ["g1"]).select("g1", F.struct(*fields).alias("wide"))
     whole = _mean_and_cov(stats.withColumn("g0", F.lit(0)), ["g0"]).withColumn("scale", F.lit(1.0))
-    whole = work.store(_factors(whole), "whole").select("g0", F.struct(*cols).alias("all"))
+    whole = work.store(_factors(whole), "whole").select("g0", F.struct(*fields).alias("all"))
     est = keys.join(own, ["g1", "g2"], "left").join(lang, "g1", "left").withColumn("g0", F.lit(0)).join(whole, "g0", "left")
     est = est.select("g1", "g2", F.coalesce("own", "wide", "all").alias("e"))
     est = work.store(est.select("g1", "g2", "e.*"), "estimates")
@@ -166,9 +163,9 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     both = both.withColumns({x: F.greatest(F.col(x), F.coalesce(F.col(f"u_{x}"), F.col(x))) for x in X[1:]})
     both = both.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     both = both.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cut))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], *made)
+    return both.select(*[F.col(f"`{c}`") for c in cols], *made)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+    return judged(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
