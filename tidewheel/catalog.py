@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidewheel.queries import kit, trading  # noqa: F401
+from tidewheel.queries.base import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hourly bars with their day's volume-weighted price and its bands."""
+    return QUERIES["vwap"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -1 +1 @@
-
+"""Reading and writing bars, trades, funding and state."""
