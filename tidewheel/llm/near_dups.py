@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidewheel.llm import text as tx
 from tidewheel.llm.components import connected_components
 from tidewheel.llm.scratch import Scratch
+from tidewheel.llm.similarity import far_pairs
 from tidewheel.llm.tables import table
 
 #: Words of a shingle and the least similarity in percent.
@@ -26,8 +27,6 @@ SHINGLE, PERCENT = 2, 80
 #: Trees, and signature values of the shortest and of the next prefix of a region: a pair of similarity 0.8
 #: shares no region with a probability of (1 - 0.8**4)**24, three in a million.
 TREES, DEPTH = 24, 4
-#: Rounds in which documents of one region but different components are compared.
-ROUNDS = 8
 
 _rng = np.random.default_rng(9)
 _A = _rng.integers(1, 2**62, 512, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,9 +105,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     Texts with equal sets are one class, grouped before anything else, so
     copies are never expanded.  Then, on one representative of each class:
     each region's documents are compared with the region's least id, at both
-    prefix depths; after that only where a region still has several
-    components, first neighbours in sorted order and then all documents of
-    different components there.  No pair of one component is looked at again.
+    prefix depths.  Where a region still has several components, its
+    neighbours in sorted order are compared, and then, exactly and
+    whatever the regions' sizes, all documents there of different components
+    that share one of their rarest shingles.  Pairs of one component are not looked at again.
 
     Null and empty texts have an empty set and link to nothing.  Rows that
     share an id count as one document; rows without an id link
@@ -126,8 +126,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     zipped = F.arrays_zip("prefix", "deeper")
     placed = leads.select("id", "n", F.posexplode(zipped).alias("tree", "x")).select("id", "n", F.col("tree").cast("byte").alias("tree"), "x.prefix", "x.deeper")
     regions = placed.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1").drop("m")
-    placed = work.store(placed.join(regions, ["tree", "prefix"]), "placed")
-    deeper = placed.groupBy("tree", "deeper").agg(F.min("id").alias("below"))
+    # Sums that are joined back are stored first: then Spark can split a hot region among tasks.
+    placed = work.store(placed.join(work.store(regions, "regions"), ["tree", "prefix"]), "placed")
+    deeper = work.store(placed.groupBy("tree", "deeper").agg(F.min("id").alias("below")), "deeper")
     close = placed.join(deeper, ["tree", "deeper"]).select("id", F.explode(F.array_distinct(F.array("lead", "below"))).alias("lead"))
     pairs = work.store(close.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     members = placed.select("id").distinct()
@@ -143,45 +144,52 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     edges = work.store(linked(pairs), "edges")
     tried = pairs
     roots = work.store(connected_components(edges), "roots")
-    for i in range(ROUNDS):
+    def regions_open(name: str) -> DataFrame:
+        """The rows of regions that still hold several components."""
         at = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = at.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "prefix")
-        at = work.store(at.join(open_, ["tree", "prefix"], "left_semi"), f"open{i}")
-        if i == 0:
-            # Neighbours in the sorted order: those that share the longest prefix.
-            order = Window.partitionBy("tree", "prefix").orderBy("deeper", "id")
-            new = at.withColumns({"o": F.lag("id").over(order), "oroot": F.lag("root").over(order), "on": F.lag("n").over(order)})
-            new = new.where("o is not null and root <> oroot")
-        else:
-            other = at.select("tree", "prefix", F.col("id").alias("o"), F.col("root").alias("oroot"), F.col("n").alias("on"))
-            new = at.join(other, ["tree", "prefix"]).where("root < oroot")
+        several = at.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "prefix")
+        return work.store(at.join(work.store(several, f"several_{name}"), ["tree", "prefix"], "left_semi"), name)
+
+    def compared(new: DataFrame, name: str) -> None:
+        """Confirms new candidates and joins their components."""
+        nonlocal tried, edges, roots
         new = new.where(100 * F.least("n", "on") >= percent * F.greatest("n", "on"))
         new = new.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        new = work.store(new.join(tried, ["a", "b"], "left_anti"), f"pairs{i}")
-        if i > 0 and not new.limit(1).count():
-            break
-        more = work.store(linked(new), f"edges{i}")
+        new = work.store(new.join(tried, ["a", "b"], "left_anti"), f"pairs_{name}")
+        more = work.store(linked(new), f"edges_{name}")
         tried = tried.unionByName(new)
         if more.limit(1).count():
             edges = edges.unionByName(more)
-            roots = work.store(connected_components(edges), f"roots{i}")
-        elif i > 0:
-            break
+            roots = work.store(connected_components(edges), f"roots_{name}")
+
+    # Neighbours in the sorted order: those that share the longest prefix.
+    order = Window.partitionBy("tree", "prefix").orderBy("deeper", "id")
+    at = regions_open("open_neighbours")
+    at = at.withColumns({"o": F.lag("id").over(order), "oroot": F.lag("root").over(order), "on": F.lag("n").over(order)})
+    compared(at.where("o is not null and root <> oroot"), "neighbours")
+    # The rest exactly: two sets of the wanted similarity share a shingle among the rarest of each.
+    at = regions_open("open_rest").select("id", "n", "root").distinct()
+    compared(far_pairs(work.store(at.join(sets, "id"), "open_sets"), percent, work), "rest")
     found = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     found = found.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The documents that lead their component, each once, with their own columns."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that lead their component, each once, with their own columns.
+
+    Rows without an id are told apart by their text and never lead a document with one.
+    """
     work = Scratch(docs.sparkSession)
-    kept = work.store(near_duplicates(docs, key=key, **how).where("kept").groupBy(key).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept.where(F.col(key).isNotNull()), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    out = out.unionByName(docs.where(F.col(f"`{key}`").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    beyond = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1 << 61))
+    keyed = docs.withColumn("_key", F.coalesce(F.col(f"`{key}`").cast("long"), beyond))
+    kept = near_duplicates(keyed, key="_key", text=text, **how).where("kept").groupBy("_key").agg(F.count("*").alias("_rows"))
+    kept = work.store(kept, "kept")
+    out = keyed.join(kept, "_key", "left_semi")
     if kept.where("_rows > 1").limit(1).count():  # rows that share an id
-        out = out.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(f"`{key}`").isNull()))
-    return out
+        out = out.dropDuplicates(["_key"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
