@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import evaluate, model
+from tidewheel.queries import trading
 from tidewheel.sources import replay, tables
 
 
@@ -52,6 +53,18 @@ def test_paging_source(spark, tmp_path):
     assert sorted((r.symbol, r.timestamp) for r in got.collect()) == [(s, t) for s in "AB" for t in (0, 60, 120)]
 
 
+def test_stream_runs_share_no_folder(spark, sf, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf}/events.parquet").limit(50).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster")
+    for where in (sf, str(tmp_path), sf):
+        events = spark.read.parquet(f"{where}/events.parquet")
+        want = {(r.user_id, r.event_id) for r in events.groupBy("user_id").agg(F.max("event_id").alias("event_id")).collect()}
+        assert {(r.user_id, r.event_id) for r in trading.stream_upsert(spark, where).collect()} == want
+        want = sorted((r.user_id, r.event_type) for r in events.select("user_id", "event_type").distinct().collect())
+        assert sorted((r.user_id, r.event_type) for r in trading.stream_dedupe(spark, where).collect()) == want
+        assert trading.stream_tumbling_bars(spark, where).columns[0] == "symbol"
+
+
 def test_models_learn_and_calibrate(spark):
     rows = spark.range(600).select(F.lit("A").alias("symbol"), F.col("id").alias("ts"), (F.rand(1) * 3).alias("f"), F.rand(2).alias("noise")).withColumn("label", F.floor("f").cast("int"))
     rows = rows.withColumn("noise", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("noise"))) if "id" in rows.columns else rows

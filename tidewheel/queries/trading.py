@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ from tidewheel.streaming import live
 G = DEFAULT
 
 
+def fresh(s, name: str) -> str:
+    """A folder of this call alone, which all executors share."""
+    return tempfile.mkdtemp(prefix=f"spark-{name}-") if s.sparkContext.master.startswith("local[") else f"{s.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def pivot(v: str, top: bool) -> str:
     """A fractal of five bars, known two bars later."""
     f = "max" if top else "min"
@@ -314,12 +320,12 @@ def cross_asset(s, d):
 @query("feature_matrix")
 def feature_matrix(s, d):
     """All 303 features of hourly bars with the day as next timeframe."""
-    base = tempfile.mkdtemp(prefix="spark-matrix-") if s.sparkContext.master.startswith("local[") else s.conf.get("spark.checkpoint.dir")
+    base = fresh(s, "matrix")
     n = [0]
 
     def cut(df: DataFrame) -> DataFrame:
         n[0] += 1
-        path = f"{base}/matrix-{id(n)}-{n[0]}"
+        path = f"{base}/matrix-{n[0]}"
         df.write.mode("overwrite").parquet(path)
         return s.read.schema(df.schema).parquet(path)
 
@@ -332,7 +338,7 @@ def replay(s, d, name: str, columns: str) -> DataFrame:
 
 def drained(s, stream: DataFrame, schema) -> DataFrame:
     """Runs a stream over what is there and returns what it appended."""
-    base = tempfile.mkdtemp(prefix="spark-stream-") if s.sparkContext.master.startswith("local[") else s.conf.get("spark.checkpoint.dir")
+    base = fresh(s, "stream")
     q = live.appending(stream, f"{base}/out", f"{base}/state", available_now=True)
     q.awaitTermination()
     return s.read.schema(schema).parquet(f"{base}/out")
@@ -355,7 +361,7 @@ def stream_dedupe(s, d):
 
 @query("stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upsert(s, d):
-    base = tempfile.mkdtemp(prefix="spark-upsert-") if s.sparkContext.master.startswith("local[") else s.conf.get("spark.checkpoint.dir")
+    base = fresh(s, "upsert")
 
     def merge(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/merged/batch={number}")
