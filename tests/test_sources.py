@@ -53,6 +53,15 @@ def test_paging_source(spark, tmp_path):
     assert sorted((r.symbol, r.timestamp) for r in got.collect()) == [(s, t) for s in "AB" for t in (0, 60, 120)]
 
 
+def test_paging_from_beyond_the_third_page(spark, tmp_path):
+    (tmp_path / "A").mkdir()
+    for k in range(8):
+        (tmp_path / "A" / f"{k * 60}.json").write_text(json.dumps([[k * 60 + j, 1, 2, 0.5, 1.5, 9] for j in (0, 30)] if k != 1 else []))
+    spark.dataSource.register(replay.CandlePages)
+    got = spark.read.format("candle_pages").option("path", str(tmp_path)).option("since", "270").load()
+    assert sorted(r.timestamp for r in got.collect()) == [270, 300, 330, 360, 390, 420, 450]
+
+
 def test_stream_runs_share_no_folder(spark, sf, tmp_path, monkeypatch):
     spark.read.parquet(f"{sf}/events.parquet").limit(50).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster")

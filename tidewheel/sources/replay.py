@@ -44,19 +44,21 @@ class PagesReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [SymbolPages(s) for s in sorted(os.listdir(self.path))]
 
-    def pages(self, symbol: str) -> Iterator[list]:
+    def pages(self, symbol: str) -> Iterator[tuple[int, list]]:
         folder = os.path.join(self.path, symbol)
-        for name in sorted(os.listdir(folder), key=lambda x: int(x.split(".")[0])):
+        for first, name in sorted((int(x.split(".")[0]), x) for x in os.listdir(folder)):
             with open(os.path.join(folder, name)) as f:
-                yield json.load(f)
+                yield first, json.load(f)
 
     def read(self, partition: SymbolPages) -> Iterator[tuple]:
         cursor, empty = self.since, 0
-        for page in self.pages(partition.symbol):
-            rows = [r for r in page if cursor <= r[0] < self.until]
-            empty = 0 if rows else empty + 1
+        for first, page in self.pages(partition.symbol):
+            if max((r[0] for r in page), default=first) < self.since:
+                continue  # never asked for: an exchange answers from the cursor on
+            empty = 0 if page else empty + 1
             if empty == 3:
                 return
+            rows = [r for r in page if cursor <= r[0] < self.until]
             for r in rows:
                 yield (partition.symbol, int(r[0]), *map(float, r[1:6]))
             cursor = rows[-1][0] + 1 if rows else cursor
