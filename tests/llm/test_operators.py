@@ -230,6 +230,23 @@ def test_fuzzy_lines_lose_no_link(docs, rows):
         assert r.kept == (first[r.class_id] == (r.doc_id, r.line_no))
 
 
+def test_fuzzy_links_at_the_threshold_share_a_band(spark):
+    rng, made, want = random.Random(11), [], []
+    sets = lambda f: {f[i : i + 5] for i in range(max(1, len(f) - 4))}
+    while len(want) < 800:
+        a = prose(rng, 30)[: rng.randint(50, 120)].strip()
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            b[rng.randrange(len(b))] = rng.choice("xyzq")
+        b = "".join(b)
+        x, y = sets(a), sets(b)
+        if 80 * len(x | y) <= 100 * len(x & y) < 90 * len(x | y):
+            want.append((len(made), len(made) + 1))
+            made += [(len(made), a), (len(made) + 1, b)]
+    of = {r.doc_id: r.class_id for r in fuzzy_lines.judged(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert [p for p in want if of[p[0]] != of[p[1]]] == []
+
+
 def test_url_rules(spark):
     cases = {
         "http://www.example.com/en/a?x": "www.example.com/en/", "http://a.example.com/en/a": "example.com/en/", "http://x.COM/": "com/", "http://x.com": None, "http://b.net/es/": "net/es/", "http://net/fr/1#t": "net/fr/",
