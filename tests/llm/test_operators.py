@@ -247,6 +247,15 @@ def test_fuzzy_links_at_the_threshold_share_a_band(spark):
     assert [p for p in want if of[p[0]] != of[p[1]]] == []
 
 
+def test_fuzzy_query_has_every_document_and_class(spark, tmp_path):
+    texts = ["one line\n\nanother line", None, "", " \n\t", "One  line"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fuzzy_lines.op5_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert {i: (r.n_lines, r.n_kept, r.kept_chars) for i, r in got.items()} == {0: (2, 2, 20), 1: (0, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (1, 0, 0)}
+    assert [(x.line_no, x.kept) for x in got[0].lines] == [(0, True), (2, True)] and got[1].lines == []
+    assert got[4].lines[0].class_id == got[0].lines[0].class_id != got[0].lines[1].class_id
+
+
 def test_url_rules(spark):
     cases = {
         "http://www.example.com/en/a?x": "www.example.com/en/", "http://a.example.com/en/a": "example.com/en/", "http://x.COM/": "com/", "http://x.com": None, "http://b.net/es/": "net/es/", "http://net/fr/1#t": "net/fr/",
