@@ -136,6 +136,22 @@ def test_suffix_array_and_prefixes():
             assert lcp[k] == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
 
 
+def test_near_copies_just_over_the_length():
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        base, texts = rng.integers(97, 123, 320).astype(np.uint8), []
+        for _ in range(6):
+            t = base.copy()
+            t[rng.integers(200, 320)] = rng.integers(97, 123)
+            texts.append(np.concatenate([rng.integers(97, 123, rng.integers(0, 40)).astype(np.uint8), t[: rng.integers(230, 320)], rng.integers(97, 123, 30).astype(np.uint8)]).tobytes())
+        texts += [rng.integers(97, 123, 400).astype(np.uint8).tobytes() for _ in range(3)]
+        twice, cls = suffix_dedup.repeated_windows(texts, 200)
+        windows = [[t[i : i + 200] for i in range(len(t) - 199)] for t in texts]
+        count = Counter(w for ws in windows for w in ws)
+        assert [x.tolist() for x in twice] == [[count[w] > 1 for w in ws] for ws in windows], seed
+        assert len({(w, c) for ws, cs in zip(windows, cls, strict=True) for w, c in zip(ws, cs.tolist(), strict=True)}) == len(count) == len({c for cs in cls for c in cs.tolist()}), seed
+
+
 def test_decontamination_like_all_windows(spark, rows, docs):
     items = [(1, " ".join(rows[0][1].split(" ")[3:20]).upper()), (2, "one"), (3, None), (4, "..."), (5, "absent words only"), (11, " ".join(rows[0][1].split(" ")[3:20])), (None, "x, y")]
     item_table = spark.createDataFrame(items, "item_id long, text string")

@@ -145,7 +145,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int, stride: int = 32) -> np.ndarray:
     """Bytes that each suffix shares with its predecessor in ``sa``, counted up to ``most``.
 
-    Kasai: going through the text, the shared length drops by one at most.
+    Kasai: going through the text, the shared length drops by one at most; ``sa`` must be in full order for that.
     Every ``stride``-th place starts anew and all strides advance together.
     """
     n = len(codes)
@@ -181,7 +181,7 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[list[np.ndarray],
     buf = np.frombuffer(b"".join(texts), np.uint8)
     n = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(n)
-    sa = suffix_array(buf, length)
+    sa = suffix_array(buf, len(buf))  # in full order, as common_prefixes carries lengths from one suffix to the next
     same = common_prefixes(buf, sa, length) >= length
     cls = np.empty(len(buf), np.int64)
     cls[sa] = np.cumsum(~same)
