@@ -190,6 +190,20 @@ def test_quality_counts_and_verdicts(rows, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_rejects_planted_menus_and_symbols(spark):
+    rng = random.Random(3)
+    made = [(i, prose(rng, rng.randint(60, 200))) for i in range(300)]
+    menu = lambda: " | ".join(prose(rng, 2) for _ in range(60))
+    junk = lambda: " ".join(rng.choice(["$$#", "<%>", "&*"]) + prose(rng, 1) for _ in range(80))
+    made += [(i, menu()) for i in range(300, 320)] + [(i, junk()) for i in range(320, 330)]
+    shares = [t.count("|") / len(t.replace(" ", "")) for _, t in made[300:320]]
+    assert 0.06 < min(shares) and max(shares) < 0.15
+    docs = spark.createDataFrame([(i, t, "en", "s1") for i, t in made], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == set(range(300, 330))
+
+
 def test_robust_estimate_ignores_a_quarter_of_outliers(spark):
     rng = np.random.default_rng(1)
     good, bad = rng.normal(0, 1, (300, 4)) * 0.3 + [1, 0, 0, 0], rng.normal(0, 0.1, (60, 4)) + [9, 5, 5, 5]

@@ -22,7 +22,7 @@ CORE, STEPS = 0.75, 4
 CUT = 62.0
 #: Least standard deviation of each statistic, so that groups without any spread still have a scale:
 #: of log word length, square roots of the symbol, duplicate-line and repeated-word shares.
-FLOOR = (0.08, 0.06, 0.12, 0.12)
+FLOOR = (0.08, 0.03, 0.12, 0.12)
 #: A group of fewer documents has no estimate of its own; it takes that of its language, or of all.
 LEAST = 40
 X = ("x1", "x2", "x3", "x4")
