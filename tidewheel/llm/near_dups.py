@@ -1,4 +1,4 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures.
+"""Near-duplicate documents by MinHash signatures, banded at two fixed depths.
 
 The signature of a document's set of word shingles is read in several
 rotations, the trees.  In each, documents in sorted order that share a prefix
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
             edges = edges.unionByName(more)
             roots = work.store(connected_components(edges), f"roots_{name}")
 
-    # Neighbours in the sorted order: those that share the longest prefix.
+    # Neighbours in the order of the deeper hash: those that share all of the deeper prefix meet, the order of others says nothing.
     order = Window.partitionBy("tree", "prefix").orderBy("deeper", "id")
     at = regions_open("open_neighbours")
     at = at.withColumns({"o": F.lag("id").over(order), "oroot": F.lag("root").over(order), "on": F.lag("n").over(order)})
