@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm import text as tx
-from tidewheel.llm.tables import table
+from tidewheel.llm.tables import Aside, table
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of test texts that a task holds at once; a larger test set is searched in blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of test texts that a task holds at once, with an index of some twenty times as many; a larger test set is searched in blocks.
+BLOCK_BYTES = 4 << 20
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))]
 
@@ -126,23 +126,22 @@ def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
     Words are runs of ASCII letters (A-Z lower-cased), digits and all that is
     not ASCII.  Test items of fewer than ``window`` words are one window;
     items without words, null texts among them, match nothing, nor do null or empty documents.
-    Repeated items count once by item_id.  Columns of the three names are
-    replaced.  Empty tables on either side give no matches.
+    Texts of any length are searched whole.  Repeated items count once by item_id, repeated documents each.  Columns of the three names are
+    replaced, others may have any name.  Empty tables on either side give no matches.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "matches")])
+    held = Aside(docs, ("n_words", "n_hit", "matches"))
     items = items.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kept = T.StructType([*docs.schema.fields])
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "matches": F.array().cast(T.ArrayType(MATCH))})
-    schema = T.StructType([*kept.fields, *ADDED])
+    out = held.df.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "matches": F.array().cast(T.ArrayType(MATCH))})
+    schema = T.StructType([*held.df.schema.fields, *ADDED])
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         test = TestSuffixes([(r[0], r[1].encode()) for r in part.sort("item_id", "text").toLocalIterator()], window)
         shared = spark.sparkContext.broadcast(test)
-        out = out.mapInArrow(_scanner(shared, text), schema)
-    return out
+        out = out.mapInArrow(_scanner(shared, held.of(text)), schema)
+    return held.back(out, "n_words", "n_hit", "matches")
 
 
 def _scanner(shared, text: str):
@@ -167,8 +166,10 @@ def _scanner(shared, text: str):
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents without any window of a test item, with their own columns."""
-    return scanned(docs, items, **how).where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without any window of a test item, with all their own columns, whatever the names."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(how.pop('text', 'text'))}"
+    return scanned(numbered, items, text=text, **how).where("n_hit = 0").drop("n_words", "n_hit", "matches").toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import table
+from tidewheel.llm.scratch import stored
+from tidewheel.llm.tables import Aside, table
 
 #: Weights of the sources in code point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -55,30 +56,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _with_copies(held: Aside, key: str, text: str, source: str, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """The table set aside, with size, source_size, target and n_copies."""
+    rows = held.df.withColumn("size", size_of(F.col(held.of(text))))
+    # One row a source, stored: Spark sees its size and sends it to the rows if it is small, so that no text is shuffled.
+    targets = source_targets(rows.select(F.col(held.of(source)).alias("source"), "size"), weights, most)
+    targets = stored(targets.withColumnRenamed("source", "of_source"), "targets")
+    both = rows.join(targets, F.col(held.of(source)).eqNullSafe(F.col("of_source")), "left")
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    whole = F.floor(rate)
+    return both.withColumn("n_copies", whole + (coin(F.col(held.of(key)), seed) < rate - whole).cast("long"))
+
+
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and n_copies of each document.
 
     Null texts have size 0 and sources without words the target 0 (no copy);
-    a null source is a source of its own; rows with the same key share a coin.
-    Names that the columns of ``docs`` already have are replaced.  An empty table
-    stays empty.  The targets have one row per source, so the join back moves
-    no text unless the sources outgrow Spark's own broadcast threshold.
+    a null source is a source of its own; rows with the same key share a coin, null keys too.
+    Texts of any length count whole.  Names that the columns of ``docs`` already have are replaced, others may be any.  An empty table
+    stays empty.
     """
-    sized = docs.withColumn("size", size_of(F.col(text)))
-    targets = source_targets(sized.select(F.col(source).alias("source"), "size"), weights, most)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_ss"), F.col("target").alias("_target"))
-    kept = [c for c in sized.columns if c not in ("source_size", "target", "n_copies")]
-    both = sized.select(*[F.col(f"`{c}`") for c in kept]).join(targets, F.col(source).eqNullSafe(F.col("_source")), "left")
-    rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_ss").cast("double")), F.lit(0.0))
-    whole = F.floor(rate)
-    n = whole + (coin(F.col(key), seed) < rate - whole).cast("long")
-    return both.withColumns({"n_copies": n, "source_size": F.col("_ss"), "target": F.col("_target")}).drop("_source", "_ss", "_target")
+    held = Aside(docs, ("size", "source_size", "target", "n_copies"))
+    return held.back(_with_copies(held, key, text, source, weights, most, seed), "size", "source_size", "target", "n_copies")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as ``copies`` says, with the columns of ``docs``."""
-    out = copies(docs, **how).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document as often as ``copies`` says, with all columns of ``docs``, whatever their names."""
+    held = Aside(docs)
+    out = _with_copies(held, key, text, source, weights, most, seed)
+    return held.back(out.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

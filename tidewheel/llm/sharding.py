@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.scratch import Scratch
-from tidewheel.llm.tables import table
+from tidewheel.llm.tables import Aside, table
 
 #: Bytes of text in a shard.
 LIMIT = 8 << 20
@@ -19,6 +19,8 @@ LIMIT = 8 << 20
 BITS = 60
 #: Bits by which an oversized region is looked into at a time.
 STEP = 12
+#: A directory of up to so many shards (some 5 MB), of up to so many depths, is sent to the rows.
+SENT, FEW = 50_000, 12
 
 
 def hash_of(key: Column, text: Column) -> Column:
@@ -64,28 +66,36 @@ def directory(rows: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFram
         deep = new
 
 
-def assigned(docs: DataFrame, limit: int = LIMIT, step: int = STEP, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assigned(docs: DataFrame, limit: int = LIMIT, step: int = STEP, key: str = "doc_id", text: str = "text", sent: int = SENT) -> DataFrame:
     """``docs`` with shard (its hash prefix as bits, "" for the whole), shard_bytes and over_limit.
 
-    Bytes are those of the text in UTF-8; a null text has none.  Repeated rows
-    have the same hash and share a shard.  A document longer than the limit
+    Bytes are those of the text in UTF-8; a null text has none, a null key reads as empty.  Repeated rows
+    have the same hash and share a shard; ties of hash stay together.  A document longer than the limit
     gets a shard of its own, marked over_limit.  Columns of these names are
-    replaced.  A row meets its shard by an equi-join of the depths that occur
-    (a few numbers) with the directory.
+    replaced, others may have any name; an empty table stays empty.  A directory of up to ``sent`` shards (counted) is sent to
+    the rows, so no text is shuffled; a larger one meets them by an equi-join on the hash.
     """
     work = Scratch(docs.sparkSession)
-    cols = [c for c in docs.columns if c not in ("shard", "shard_bytes", "over_limit")]
-    h, size = hash_of(F.col(key), F.col(text)), F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    narrow = docs.select(h.alias("h"), size.alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    held = Aside(docs, ("shard", "shard_bytes", "over_limit"))
+    h, size = hash_of(F.col(held.of(key)), F.col(held.of(text))), F.coalesce(F.octet_length(held.of(text)), F.lit(0)).cast("long")
+    narrow = held.df.select(h.alias("h"), size.alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     narrow = work.store(narrow, "hashes")
-    shards = work.store(directory(narrow, limit, step), "directory")
-    depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most BITS + 1 numbers
-    probe = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
-    where = narrow.select("h", probe.alias("at")).select("h", "at.depth", "at.prefix").join(shards, ["depth", "prefix"])
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), "0"))
-    where = where.select(F.col("h").alias("_h"), bits.alias("shard"), "shard_bytes", "over_limit")
-    left = docs.select(*[F.col(f"`{c}`") for c in cols], h.alias("_h0"))
-    return left.join(where, F.col("_h0") == F.col("_h")).drop("_h0", "_h")
+    shards = work.store(directory(narrow, limit, step).select("depth", "prefix", bits.alias("shard"), "shard_bytes", "over_limit"), "directory")
+    found = {r["depth"]: r["n"] for r in shards.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # at most BITS + 1 numbers
+    depths = sorted(found) or [0]
+    at = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in depths])
+    rows = held.df.withColumn("h", h)
+    if sum(found.values()) <= sent and len(depths) <= FEW:
+        for k, d in enumerate(depths):  # one small table for each depth that occurs
+            part = shards.where(F.col("depth") == d).select(F.col("prefix").alias(f"p{k}"), F.struct("shard", "shard_bytes", "over_limit").alias(f"s{k}"))
+            rows = rows.join(F.broadcast(part), F.shiftright("h", BITS - d) == F.col(f"p{k}"), "left")
+        rows = rows.withColumn("s", F.coalesce(*[f"s{k}" for k in range(len(depths))]))
+    else:
+        where = narrow.select("h", F.explode(at).alias("at")).select("h", "at.depth", "at.prefix").join(shards, ["depth", "prefix"])
+        where = where.select(F.col("h").alias("_h"), F.struct("shard", "shard_bytes", "over_limit").alias("s"))
+        rows = rows.join(where, F.col("h") == F.col("_h"))
+    return held.back(rows, F.col("s.shard"), F.col("s.shard_bytes"), F.col("s.over_limit"))
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ each hit against the stored rule.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.tables import table
+from tidewheel.llm.tables import Aside, table
 
 #: (verdict, rule): a host with all its subdomains, then the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -54,7 +56,8 @@ def write_digests(rules: Iterable[tuple[str, str]], folder: str) -> dict:
     np.cumsum([0] + [len(t) for t in texts]).astype(np.int64).tofile(os.path.join(folder, f"{base}.ends"))
     np.array([last[r] == "block" for _, r in keyed], np.uint8).tofile(os.path.join(folder, f"{base}.block"))
     sizes = sorted({len(r.partition("/")[1] + r.partition("/")[2]) for r in last}, reverse=True)
-    return {"base": base, "path_sizes": sizes, "n": len(keyed)}
+    labels = sorted({r.partition("/")[0].count(".") + 1 for r in last})
+    return {"base": base, "path_sizes": sizes, "labels": labels, "n": len(keyed)}
 
 
 class Digests:
@@ -62,7 +65,7 @@ class Digests:
 
     def __init__(self, made: dict, folder: str):
         at = lambda end: os.path.join(folder, f"{made['base']}.{end}")
-        self.sizes, self.n = made["path_sizes"], made["n"]
+        self.sizes, self.labels, self.n = made["path_sizes"], made["labels"], made["n"]
         if self.n:
             self.keys, self.ends = np.memmap(at("keys"), np.uint64, "r"), np.memmap(at("ends"), np.int64, "r")
             self.rules, self.block = np.memmap(at("rules"), np.uint8, "r"), np.memmap(at("block"), np.uint8, "r")
@@ -84,30 +87,34 @@ class Digests:
         return out
 
     def candidates(self, host: str, path: str) -> list[str]:
-        """Every rule that could fit."""
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))]
-        return [h + path[:n] for h in hosts for n in self.sizes if n <= len(path)] if host else []
+        """Every rule that could fit: of the host's ends only those with as many labels as some rule has."""
+        if not host or not self.labels:
+            return []
+        ends = host.rsplit(".", self.labels[-1])[::-1][: self.labels[-1]]
+        hosts = [".".join(ends[:k][::-1]) for k in self.labels if k <= host.count(".") + 1]
+        return [h + path[:n] for h in hosts for n in self.sizes if n <= len(path)]
 
 
 def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, otherwise: str = OTHERWISE, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
-    The longest rule that fits wins; where none fits, the rule is null and the
+    The longest rule that fits wins (two different rules of one length can't both
+    fit unless one's host is longer; then that one wins); where none fits, the rule is null and the
     verdict is ``otherwise``.  Null or malformed URLs have an empty host and
-    path and fit no rule.  Columns of the four names are replaced.  Empty
-    tables and empty rule lists are fine.  One map over the URLs, no shuffle.
+    path and fit no rule.  Columns of the four names are replaced, others may have any name.  Repeated rows are judged alike, URLs of any length
+    whole.  Empty tables and empty rule lists are fine.  One map over the URLs, no shuffle.
     """
     spark = pages.sparkSession
-    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
-    folder = tempfile.mkdtemp(prefix="digests-")
+    held = Aside(pages, ("host", "path", "rule", "verdict"))
+    folder = tempfile.mkdtemp(prefix="digests-")  # on the driver alone; Spark hands the files to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     made = write_digests(rules, folder)
     for end in ("keys", "rules", "ends", "block"):
         path = os.path.join(folder, f"{made['base']}.{end}")
         if os.path.getsize(path):
             spark.sparkContext.addFile(path)
-    host, path = parts(F.col(url))
-    both = pages.withColumns({"host": host, "path": path})
+    host, path = parts(F.col(held.of(url)))
+    both = held.df.withColumns({"host": host, "path": path})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = Digests(made, SparkFiles.getRootDirectory())
@@ -128,15 +135,16 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, otherwise
                 best: dict[int, tuple[int, int]] = {}
                 hit = array.probe(flat)
                 for i in np.flatnonzero(hit >= 0).tolist():
-                    best[owner[i]] = max(best.get(owner[i], (-1, -1)), (len(flat[i]), i))
+                    best[owner[i]] = max(best.get(owner[i], (-1, -1, -1)), (len(flat[i]), len(flat[i].partition("/")[0]), i))
                 for r in range(start, end):
-                    i = best[r][1] if r in best else -1
+                    i = best[r][2] if r in best else -1
                     rule.append(flat[i] if i >= 0 else None)
                     verdict.append(otherwise if i < 0 else "block" if array.block[hit[i]] else "allow")
                 start = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
 
-    return both.mapInArrow(run, T.StructType([*both.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
+    found = both.mapInArrow(run, T.StructType([*both.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
+    return held.back(found, "host", "path", "rule", "verdict")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
