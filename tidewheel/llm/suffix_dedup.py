@@ -324,9 +324,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     work = Scratch(spark)
     keyed = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") >= length)
     found = work.store(find_spans(keyed, length, gram), "spans")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Sums that are joined back are stored first: then Spark can split the spans of a hot anchor among tasks.
+    often = work.store(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     shared = work.store(found.join(often, "anchor", "left_semi"), "shared")
-    work.release("spans")
+    work.release("spans", "often")
     first = [F.first(c).alias(c) for c in ("id", "row", "first", "windows")]
     classes = work.store(shared.groupBy("anchor", "span").agg(F.count("*").alias("m"), *first), "classes")
     groups = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.sum(F.col("windows") + length).alias("bytes")).where("c > 1")
@@ -337,7 +338,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     shard = F.when(F.col("hot"), F.xxhash64("anchor", F.pmod("span", parts))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     opened = opened.withColumn("shard", shard)
     at = F.collect_list(F.struct("anchor", "span", "shard", "hot", "first", "windows")).alias("at")
-    once = _with(keyed, shared.select("id", "row").distinct(), "left_semi")
+    once = _with(keyed, work.store(shared.select("id", "row").distinct(), "holders"), "left_semi")
     once = work.store(once.groupBy("id", "row").agg(F.first("text").alias("text")), "held")
     cut = cut_spans(_with(once, opened.groupBy("id", "row").agg(at), "inner").select("text", "at"), length)
     judged = work.store(cut.groupBy("shard").applyInPandas(_shard(length), SHARD), "judged")
@@ -350,6 +351,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     hits = hits.groupBy("anchor", "span").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     alike = classes.where("m > 1").select("anchor", "span", F.array(F.lit(0), F.col("windows")).alias("runs"))
     hits = hits.join(classes.where("m = 1").select("anchor", "span"), ["anchor", "span"], "left_semi").unionByName(alike)
+    hits = work.store(hits, "hits")
+    work.release("classes", "groups", "judged", "holders")
     rows = shared.join(hits, ["anchor", "span"]).groupBy("id", "row").agg(F.collect_set(F.struct("first", "runs")).alias("hits"))
     kind = docs.schema[key].dataType.simpleString()
     return _with(once, rows, "inner").mapInArrow(_removed(length), f"id {kind}, row long, removed array<struct<start:int,end:int>>, kept binary")
