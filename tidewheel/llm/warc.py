@@ -1,8 +1,9 @@
 """WARC archives of pages, and a capture index merged from sorted runs.
 
 Archives are written and read by Spark's own sources, so they can lie in any
-store: the text writer puts the two line ends that close a record between
-records, and the binary reader hands whole archives to the parser.
+store: each record is a gzip member of its own, the text writer puts one zero byte (padding to gzip) behind
+it, and the binary reader hands archives of a bounded size to the parser.  An entry's offset and length are those of its
+member in the archive, so a record can be read alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import datetime
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,10 +24,12 @@ from tidewheel.llm.tables import table
 
 #: Payloads of at least so many bytes are kept once.
 LEAST = 1000
-#: Records of an archive.
-RECORDS = 2000
-#: The capture time of page 0; each page is a second later. The table has no times of its own.
-EPOCH = "2024-01-01T00:00:00Z"
+#: Records of an archive, and bytes of its payloads, at most (one larger record is an archive by itself).
+RECORDS, ARCHIVE_BYTES = 2000, 32 << 20
+#: Index entries of a key range that is merged in one task, about.
+MERGE_ROWS = 250_000
+#: The capture time of page 0; each page is a second later (beyond some 7,000 years it starts anew). The table has no times of its own.
+EPOCH, SECONDS = "2024-01-01T00:00:00Z", 230_000_000_000
 CLOSE = "\r\n\r\n"
 CDX = "urlkey string, timestamp string, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long, length long"
 CDX_NAMES = [x.split()[0] for x in CDX.split(", ")]
@@ -88,7 +92,7 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
 
     Revisits of an identical payload name the response and carry no block.
     """
-    stamp = lambda c: F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce(c, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = lambda c: F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.pmod(F.coalesce(c.cast("long"), F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     safe = F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "")
     revisit = refers_to.isNotNull()
@@ -110,24 +114,58 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     return F.concat(F.encode(head, "UTF-8"), body)
 
 
-def write_archives(pages: DataFrame, path: str, records: int = RECORDS, least: int = LEAST) -> None:
-    """Writes one record per row of ``pages(page_id, url, html)`` to gzipped archives below ``path``.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records, closed by their two line ends, as gzip members in a string column (bytes as they are: the text writer doesn't look at them)."""
+    for batch in batches:
+        members = [gzip.compress(x.as_py() + CLOSE.encode(), 6, mtime=0) for x in batch.column("record")]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+
+
+def write_archives(pages: DataFrame, path: str, records: int = RECORDS, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes one record per row of ``pages(page_id, url, html)`` to archives below ``path``.
 
     Of equal payloads of ``least`` bytes or more, that of the largest page id is written
-    whole and the others as revisits.  Payloads are compared by their SHA-1,
+    whole and the others as revisits (of several rows with that largest id each is whole).  Payloads are compared by their SHA-1,
     which only page ids and digests are shuffled for, partial maxima first;
     the pages meet the revisits among them in one equi-join on page_id.
     A null html is an empty payload, a null url an empty one; rows without a page id are responses.
+    An archive holds ``records`` records, or fewer if ones as long as the longest would exceed ``archive_bytes``.
     """
+    work = Scratch(pages.sparkSession)
+    pages = pages.select("page_id", "url", "html")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    narrow = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= least)
-    kept = narrow.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null")
+    narrow = work.store(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= least), "digests")
+    # Sums that are joined back are stored first: then Spark can split a hot digest among tasks.
+    kept = work.store(narrow.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null"), "kept")
     again = narrow.join(kept.select("digest", "target"), "digest").where("page_id <> target").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "target").distinct()
-    again = Scratch(pages.sparkSession).store(again, "revisits")
+    again = work.store(again, "revisits")
+    longest = narrow.agg(F.max("size")).first()[0] or least
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     rows = rows.join(again, (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     made = record(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("target"), F.lit(None))
-    rows.select(made.cast("string").alias("value")).write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    members = rows.select(made.alias("record")).mapInArrow(_packed, "member binary")
+    most = max(1, min(records, archive_bytes // longest))
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", most).text(path)
+    work.release("digests", "kept", "revisits")
+
+
+def members(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(record, offset, length) of each gzip member of an archive, one at a time; zero bytes between them are padding."""
+    at, whole = 0, memoryview(data)
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
+        unzip = zlib.decompressobj(wbits=31)
+        record, end = [], at
+        while not unzip.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at {at} is cut off")
+            piece = whole[end : end + (1 << 16)]
+            record.append(unzip.decompress(piece))
+            end += len(piece) - len(unzip.unused_data)
+        yield b"".join(record), at, end - at
+        at = end
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -147,11 +185,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The capture index entries of all archives below ``path``, each archive's as one sorted run (run, nth).
+    """The capture index entries of all archives below ``path``, each archive's as one sorted run (archive, nth).
 
-    Digests and lengths of responses are taken from the payload as read.
+    Digests and lengths of responses are taken from the payload as read; records are unpacked one at a time.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64() if " long" in x else pa.string() for x in CDX.split(", ")]
@@ -159,7 +197,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, packed in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
                 short = name.rpartition("/")[2]
-                for h, at, size, block in parse(gzip.decompress(packed.as_py())):
+                for h, at, size, block in ((h, at, size, block) for record, at, size in members(packed.as_py()) for h, _, _, block in parse(record)):
                     whole = h["WARC-Type"] == "response"
                     digest = hashlib.sha1(block).hexdigest() if whole else h["WARC-Payload-Digest"].partition(":")[2]
                     to = h.get("WARC-Refers-To")
@@ -185,11 +223,13 @@ def merged_index(runs: DataFrame) -> DataFrame:
     """The capture histories in global order: by URL key, then time.
 
     The runs are dealt out in key ranges (a range can end within one key's
-    history, so a hot key is no hot task); in each range the pieces of the
+    history, so a hot key is no hot task), as many as hold about ``MERGE_ROWS`` entries each, by
+    their count, which is what a task holds; in each range the pieces of the
     runs, still sorted, are merged by a loser tree.  ``part`` and ``position`` give the order.
     """
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGE_ROWS))
     keys = [F.col("urlkey"), F.col("timestamp"), F.col("page_id").asc_nulls_last(), F.col("archive"), F.col("offset")]
-    dealt = runs.repartitionByRange(*keys).sortWithinPartitions("archive", "nth").withColumn("part", F.spark_partition_id())
+    dealt = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("archive", "nth").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[str, list[pa.RecordBatch]] = {}
@@ -234,7 +274,8 @@ def captured(pages: DataFrame, path: str | None = None, records: int = RECORDS)
     """Writes ``pages`` to archives (below ``path``, else in the shared folder), reads them back and merges their index.
 
     An empty table gives an empty index.  Columns other than page_id, url and
-    html are ignored; repeated rows are captures of their own.
+    html are ignored, whatever their names; repeated rows are captures of their own, and of rows that share the largest page id of equal payloads each is
+    a response.  Null urls and payloads are empty ones, null page ids come last.  Payloads of any length are kept whole.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "archives")
