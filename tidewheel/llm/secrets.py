@@ -1,15 +1,18 @@
 """Secret scans with grammar inference.
 
 Patterns find labelled credentials in every whole text.  From a bounded
-sample of them the states of a prefix tree are merged where their statistics
+sample of them, and from examples of some public formats, the states of a prefix tree are merged where their statistics
 agree (ALERGIA), which gives one probabilistic automaton for each kind and one for ordinary
-tokens.  Every other token is then scored by the likelihood of its format.
+tokens.  Every candidate, the patterns' own matches too, is then scored by the likelihood of its format.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.scratch import Scratch
-from tidewheel.llm.tables import table
+from tidewheel.llm.tables import Aside, table
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: The part of a token after its last "=" that is not padding: the value of an unquoted name=value.
+VALUE = re.compile(r"=([^=]{8,}=*)$")
 KINDS = ("assign", "access", "hex")
 ADDED, ORDINARY = "grammar", "ordinary"
 #: Strings of each kind that an automaton is fitted on, those of the least hash.
@@ -35,8 +40,8 @@ ALPHA = 0.05
 STRICT, LOOSE = 1e-6, 1e-3
 #: Ordinary tokens are more varied, so more of them are fitted.
 FIT_ORDINARY = 4000
-#: Share of the fitted credentials that may score below the threshold, and the least threshold in bits a character.
-BELOW, LEAST_BITS = 0.02, 1.0
+#: Share of the fitted credentials that may be less likely than the threshold, and least odds against ordinary text in bits a character.
+BELOW, LEAST_BITS = 0.02, 0.5
 #: Character classes and their sizes; any other character of a token is its own class.
 CLASSES = (("abcdef", "a"), ("ghijklmnopqrstuvwxyz", "g"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("0123456789", "0"))
 CLASS_OF = str.maketrans({c: k for cs, k in CLASSES for c in cs})
@@ -53,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_tokens(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, token) of tokens outside all base spans."""
+    """(start, end, token) of tokens outside all base spans; of a name=value the value too, after the whole."""
     k, reach = 0, 0
     for m in TOKEN.finditer(text):
         while k < len(base) and base[k][0] < m.end():
@@ -61,10 +66,36 @@ def other_tokens(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[t
             k += 1
         if m.start() >= reach:
             yield m.start(), m.end(), m[0]
+            if "=" in m[0] and (v := VALUE.search(m[0])):
+                yield m.start() + v.start(1), m.end(), v[1]
+
+
+def known_formats(n: int = FIT) -> dict[str, list[str]]:
+    """``n`` made-up examples for each of some public credential formats, the same in every run.
+
+    They stand beside the labelled credentials of the corpus, so that a format is known before a corpus labels it.
+    """
+    rng = random.Random(2)
+    some = lambda alphabet, size: "".join(rng.choices(alphabet, k=size))
+    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    base32 = string.ascii_uppercase + "234567"
+    made = {
+        "access_key": lambda: rng.choice(("AKIA", "ASIA")) + some(base32, 16),
+        "hex_key": lambda: some(hexes, rng.choice((32, 40, 64))),
+        "base64_key": lambda: some(alnum + "+/", 40),
+        "uuid": lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)),
+        "host_token": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + some(alnum, 36),
+        "mixed_key": lambda: some(alnum, rng.choice((24, 32))),
+    }
+    return {kind: [make() for _ in range(n)] for kind, make in made.items()}
 
 
 class Automaton:
-    """A probabilistic automaton over character classes."""
+    """A probabilistic automaton over character classes, with the lengths of its strings.
+
+    The prefix tree thins out towards long strings' ends, where merging forgets how long they were; so the
+    length has a distribution of its own in place of the states' ends.
+    """
 
     def __init__(self, strings: list[str], unseen: float = STRICT, alpha: float = ALPHA):
         self.unseen = unseen
@@ -81,6 +112,7 @@ class Automaton:
                 q = self.to[q][c]
             self.n[q] += 1
             self.end[q] += 1
+        self.sizes = Counter(map(len, strings))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
 
@@ -133,39 +165,48 @@ class Automaton:
             else:
                 kept.append(new)
 
-    def bits(self, token: str) -> float:
-        """log2 of the token's probability."""
-        q, total = 0, 0.0
+    def bits(self, token: str, least: float = -math.inf) -> float:
+        """log2 of the token's probability, or minus infinity as soon as it falls below ``least``."""
+        q, total = 0, math.log2(max(self.sizes[len(token)] / max(1, self.sizes.total()), self.unseen))
         for c in token.translate(CLASS_OF):
-            n = self.n[q] if q >= 0 else 0
+            n = self.n[q]
             p = self.seen[q].get(c, 0) / n if n else 0
             total += math.log2(max(p, self.unseen)) - BITS.get(c, 0.0)
-            q = self.to[q].get(c, q) if q >= 0 else q
-        return total + math.log2(max(self.end[q] / self.n[q] if self.n[q] else 0, self.unseen))
+            if total < least:
+                return -math.inf
+            q = self.to[q].get(c, q)
+        return total
 
 
 class Grammar:
-    """Automata of the credential kinds against that of ordinary tokens."""
+    """Automata of the credential kinds and of the known formats against that of ordinary tokens."""
 
-    def __init__(self, labelled: dict[str, list[str]]):
-        self.kinds = {k: Automaton(labelled[k]) for k in KINDS if labelled.get(k)}
+    def __init__(self, labelled: dict[str, list[str]], formats: dict[str, list[str]] | None = None):
+        examples = {k: labelled[k] for k in KINDS if labelled.get(k)} | (known_formats() if formats is None else formats)
+        self.kinds = {k: Automaton(v) for k, v in examples.items()}
         self.rest = Automaton(labelled.get(ORDINARY) or [""], LOOSE)
-        self.least = {}
-        for k in self.kinds:
-            scores = sorted(self.odds(k, s) for s in labelled[k])
-            self.least[k] = max(LEAST_BITS, scores[int(BELOW * len(scores))])
-        self.known: dict[str, bool] = {}
-
-    def odds(self, kind: str, token: str) -> float:
-        """Bits a character by which the kind's automaton explains the token better."""
-        return (self.kinds[kind].bits(token) - self.rest.bits(token)) / max(1, len(token))
+        # A token of a kind is as likely there as the kind's own examples, and likelier than as an ordinary token.
+        self.fits = {k: sorted(self.kinds[k].bits(s) / max(1, len(s)) for s in v)[int(BELOW * len(v))] for k, v in examples.items()}
+        self.known: dict[str, float | None] = {}
+
+    def odds(self, token: str) -> float:
+        """Bits a character by which the token's likeliest kind explains it better than ordinary text does."""
+        most = max((a.bits(token) for a in self.kinds.values()), default=0.0)
+        return (most - self.rest.bits(token)) / max(1, len(token))
+
+    def score(self, token: str) -> float | None:
+        """The odds of a token that some kind accepts, else null."""
+        if token not in self.known:
+            n = max(1, len(token))
+            fit = max((a.bits(token, self.fits[k] * n) for k, a in self.kinds.items()), default=-math.inf)
+            odds = (fit - self.rest.bits(token)) / n if fit > -math.inf else -math.inf
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            self.known[token] = odds if odds >= LEAST_BITS else None
+        return self.known[token]
 
     def accepts(self, token: str) -> bool:
-        if (found := self.known.get(token)) is None:
-            found = any(self.odds(k, token) >= self.least[k] for k in self.kinds)
-            if len(self.known) < 100_000:
-                self.known[token] = found
-        return found
+        return self.score(token) is not None
 
 
 def _hash(s: str) -> int:
@@ -188,39 +229,49 @@ def labelled_sample(docs: DataFrame, text: str = "text", fit: int = FIT, fit_ord
             rows = [(k, s, h) for k, v in held.items() for h, s in sorted((_hash(s), s) for s in v)[: most[k]]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], (pa.string(), pa.string(), pa.int64())[i]) for i in range(3)], ["kind", "token", "hash"])
 
-    found = docs.select(text).mapInArrow(run, "kind string, token string, hash long").distinct()
+    found = docs.select(F.col(f"`{text}`")).mapInArrow(run, "kind string, token string, hash long").distinct()
     found = Scratch(docs.sparkSession).store(found, "labelled")
     return {k: [r[0] for r in found.where(F.col("kind") == k).orderBy("hash", "token").limit(most[k]).select("token").collect()] for k in (*KINDS, ORDINARY)}
 
 
-SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("bits", T.DoubleType())]))
+
+
+def found_in(text: str, model: Grammar) -> list[dict]:
+    """The spans of one text, by start and then kind."""
+    base = base_spans(text)
+    found = [(s, k, e, model.odds(secret)) for s, k, e, secret in base]
+    reach = 0
+    for s, e, token in other_tokens(text, base):
+        bits = model.score(token)
+        if bits is not None and s >= reach:  # of a name=value the whole comes first, and at most one of the two counts
+            found.append((s, len(KINDS), e, bits))
+            reach = e
+    return [{"kind": (*KINDS, ADDED)[k], "start": s, "end": e, "bits": bits} for s, k, e, bits in sorted(found)]
 
 
 def scanned(docs: DataFrame, text: str = "text", grammar: Grammar | None = None) -> DataFrame:
-    """``docs`` with ``secrets``: spans (kind, start, end) in code points, by start and then kind.
+    """``docs`` with ``secrets``: spans (kind, start, end, bits) in code points, by start and then kind.
 
-    Base spans are those of the patterns; the automata add tokens of at least
-    12 characters outside them, of kind "grammar".  Null and empty texts have
-    none; a column named secrets is replaced; an empty table stays empty.  The
-    automata are small: fitted on at most ``FIT`` strings of each kind and ``FIT_ORDINARY`` others.
+    Base spans are those of the patterns; the automata add tokens of 8 characters or more
+    outside them, of kind "grammar".  Every span has its score: the bits a character by which its likeliest format explains it better than
+    ordinary text does.  Null and empty texts have
+    none, texts of any length are scanned whole, and repeated rows alike; a column named secrets is replaced, others may have any name; an empty table stays empty.  The
+    automata are small: fitted on at most ``FIT`` strings of each kind and ``FIT_ORDINARY`` others, those of least hash.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"])
-    shared = spark.sparkContext.broadcast(grammar or Grammar(labelled_sample(docs, text)))
+    held = Aside(docs, ("secrets",))
+    at = held.of(text)
+    shared = spark.sparkContext.broadcast(grammar or Grammar(labelled_sample(held.df, at)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
         for batch in batches:
-            out = []
-            for t in batch.column(text).to_pylist():
-                base = base_spans(t or "")
-                found = [(s, k, e) for s, k, e, _ in base]
-                found += [(s, 3, e) for s, e, token in other_tokens(t or "", base) if model.accepts(token)]
-                out.append([{"kind": (*KINDS, ADDED)[k], "start": s, "end": e} for s, k, e in sorted(found)])
+            out = [found_in(t or "", model) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secrets", SPAN)]))
+    return held.back(held.df.mapInArrow(run, T.StructType([*held.df.schema.fields, T.StructField("secrets", SPAN)])), "secrets")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
