@@ -166,7 +166,8 @@ def _found(docs: DataFrame, words: int, percent: int, trees: int, key: str, text
     pairs = work.store(sorted_.select("tree", "prefix", "deeper", "m", "cls").mapInArrow(forest_pairs, "a long, b long").distinct(), "pairs")
     wanted = work.store(placed.select("cls").distinct().join(classes.select("cls", "first.id", "first.row"), "cls"), "wanted")
     wanted = wanted.select("cls", F.col("id").alias("_id"), F.col("row").alias("_row"))
-    texts = rows.join(wanted, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    # Texts are dealt out at any size, as they are at the sizes that matter.
+    texts = rows.join(wanted.hint("merge"), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
     sets = work.store(texts.mapInArrow(_sets(words), T.StructType([field("cls", long), field("s", many)])), "sets")
     if sets.groupBy("cls").count().where("count > 1").limit(1).count():  # rows that share id and text
         sets = work.store(sets.dropDuplicates(["cls"]), "sets_once")
