@@ -163,7 +163,7 @@ def test_box_dimension_by_sets():
             if bx[i] != bx[i - 1]:
                 boxes |= {(bx[i], q) for q in range(min(by[i - 1], by[i]), max(by[i - 1], by[i]) + 1)}
         n.append(len(boxes))
-    assert abs(statistics.box_dimension(v) - np.polyfit(np.arange(1, 6) * math.log(2), np.log(n), 1)[0]) < 1e-9
+    assert abs(statistics.box_dimension(v[None])[0] - np.polyfit(np.arange(1, 6) * math.log(2), np.log(n), 1)[0]) < 1e-9
 
 
 def test_flat_and_short_series(spark):

@@ -26,63 +26,80 @@ def mean_reversion(df: DataFrame, g: Config) -> DataFrame:
     return df.withColumn("mean_reversion_score", clipped((c("zscore_20") + c("zscore_50")) / 2, -3, 3))
 
 
-def hurst(x: np.ndarray) -> float | None:
-    """log of the rescaled range over log of the length."""
-    walk, spread = np.cumsum(x - x.mean()), x.std()
-    reach = walk.max() - walk.min()
-    return None if spread == 0 or reach == 0 else math.log(reach / spread) / math.log(len(x))
-
-
-def box_dimension(x: np.ndarray) -> float | None:
-    """Slope of the number of dyadic boxes that the path touches, jumps between columns filled in."""
-    n, reach = len(x), x.max() - x.min()
-    if reach == 0:
-        return None
-    column, level = np.arange(n) / (n - 1), (x - x.min()) / reach
-    counts = []
-    for k in range(1, int(math.log2(n)) + 1):
+def hurst(windows: np.ndarray) -> np.ndarray:
+    """Log of the rescaled range over log of the length, for each row."""
+    n = windows.shape[1]
+    walk = np.cumsum(windows - windows.mean(1, keepdims=True), axis=1)
+    reach, spread = walk.max(1) - walk.min(1), windows.std(1)
+    flat = (reach == 0) | (spread == 0)
+    return np.where(flat, np.nan, np.log(np.where(flat, 1.0, reach) / np.where(flat, 1.0, spread)) / math.log(n))
+
+
+def box_dimension(windows: np.ndarray) -> np.ndarray:
+    """Slope of the number of dyadic boxes that each row's path touches, jumps between columns filled in.
+
+    At each scale the boxes are a grid of columns and rows: single points are marked, and what a jump passes is the
+    running sum of a mark where it begins and one where it ends (one jump leads into each column).
+    """
+    m, n = windows.shape
+    scales = int(math.log2(n))
+    if scales < 3:
+        return np.full(m, np.nan)
+    reach = windows.max(1) - windows.min(1)
+    flat = reach == 0
+    column, level = np.arange(n) / (n - 1), (windows - windows.min(1, keepdims=True)) / np.where(flat, 1.0, reach)[:, None]
+    counts = np.empty((m, scales))
+    row = np.arange(m)[:, None]
+    for k in range(1, scales + 1):
         i, j = np.floor(column * 2**k).astype(int), np.floor(level * 2**k).astype(int)
         jump = np.flatnonzero(np.diff(i)) + 1
-        low, high = np.minimum(j[jump - 1], j[jump]), np.maximum(j[jump - 1], j[jump])
-        filled = [np.arange(a, b + 1) for a, b in zip(low, high, strict=True)]
-        at = np.concatenate([i, np.repeat(i[jump], high - low + 1)])
-        row = np.concatenate([j, *filled])
-        counts.append(len(np.unique(at * (2 << k) + row)))
-    if len(counts) < 3:
-        return None
-    return float(np.polyfit(np.arange(1, len(counts) + 1) * math.log(2), np.log(counts), 1)[0])
+        marks = np.zeros((m, 2**k + 1, 2**k + 2), np.int8)
+        marks[row, i[jump], np.minimum(j[:, jump - 1], j[:, jump])] += 1
+        marks[row, i[jump], np.maximum(j[:, jump - 1], j[:, jump]) + 1] -= 1
+        touched = np.cumsum(marks, axis=2, dtype=np.int8) > 0
+        touched[row, i, j] = True
+        counts[:, k - 1] = touched.sum((1, 2))
+    x = np.arange(1, scales + 1) * math.log(2)
+    x = x - x.mean()
+    return np.where(flat, np.nan, (np.log(counts) @ x) / (x @ x))
+
+
+def _by_windows(x: pd.Series, measure) -> pd.Series:
+    """``measure`` of a batch's windows, in blocks of some MB; null where there is no window."""
+    out = np.full(len(x), np.nan)
+    there = np.flatnonzero(x.notna().to_numpy())
+    for k in range(0, len(there), 1024):
+        at = there[k : k + 1024]
+        out[at] = measure(np.stack(x.iloc[at].to_numpy()))
+    return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
 
 @pandas_udf(DoubleType())
 def hurst_of(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else hurst(np.asarray(v)))
+    return _by_windows(x, hurst)
 
 
 @pandas_udf(DoubleType())
 def box_dimension_of(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else box_dimension(np.asarray(v)))
+    return _by_windows(x, box_dimension)
 
 
-def _is(value: int):
-    return lambda v: v == value
-
-
-def entropy(x: str, n: int, bins: int = 10):
-    """Shannon entropy of the last n values in equal bins between their extremes; 0 where they are all the same."""
-    values = F.collect_list(c(x)).over(R(n))
-    low, high = F.array_min(values), F.array_max(values)
-    width = (high - low) / F.lit(float(bins))
-    at = F.transform(values, lambda v: F.least(F.floor(F.try_divide(v - low, width)), F.lit(bins - 1)))
-    parts = [F.size(F.filter(at, _is(b))) / F.lit(float(n)) for b in range(bins)]
-    bits = sum((F.when(p > 0, -p * F.ln(p)).otherwise(0.0) for p in parts), F.lit(0.0))
-    return F.when(F.size(values) == n, F.when(high == low, 0.0).otherwise(bits))
+def with_entropy(df: DataFrame, x: str, n: int, name: str, bins: int = 10) -> DataFrame:
+    """Adds the Shannon entropy of the last n values in equal bins between their extremes; 0 where they are all the same."""
+    df = df.withColumns({"_ev": F.collect_list(c(x)).over(R(n)), "_el": F.min(x).over(R(n)), "_eh": F.max(x).over(R(n))})
+    df = df.withColumn("_ew", (c("_eh") - c("_el")) / F.lit(float(bins)))
+    at = F.transform("_ev", lambda v: F.least(F.floor(F.try_divide(v - c("_el"), c("_ew"))), F.lit(bins - 1)))
+    df = df.withColumn("_ek", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda v: v == b)) / F.lit(float(n))))
+    bits = F.aggregate("_ek", F.lit(0.0), lambda total, p: total + F.when(p > 0, -p * F.ln(p)).otherwise(0.0))
+    return df.withColumn(name, F.when(F.size("_ev") == n, F.when(c("_eh") == c("_el"), 0.0).otherwise(bits))).drop("_ev", "_el", "_eh", "_ew", "_ek")
 
 
 def statistical(df: DataFrame, g: Config) -> DataFrame:
     df = df.withColumns({"_l1": lag("_return", 1), "_l5": lag("_return", 5), "_r10": total("_return", 10), "_hl": F.pow(F.ln(ratio("high", "low")), F.lit(2.0))})
+    df = with_entropy(df, "_return", 50, "price_entropy")
     history = lambda x, n: full(x, n, F.collect_list(c(x)).over(R(n)))
     df = df.withColumns({
-        "_rs": history("_return", g.hurst), "_cs": history("close", g.fractal_dim), "price_entropy": entropy("_return", 50),
+        "_rs": history("_return", g.hurst), "_cs": history("close", g.fractal_dim),
         "autocorrelation_1": full("_return", 50, correlation("_return", "_l1", R(49), 49)), "autocorrelation_5": full("_return", 50, correlation("_return", "_l5", R(45), 45)),
         "skewness_20": skewness("_return", 20), "kurtosis_20": kurtosis("_return", 20),
         "variance_ratio": full("_return", 20, ratio(F.var_pop("_r10").over(R(11)), 10 * F.var_pop("_return").over(R(20)))),

@@ -200,9 +200,3 @@ def pivot_low(x: str | Column, window: int = 5) -> Column:
 
 def running_total(x: Column | str) -> Column:
     return F.sum(col(x)).over(U())
-
-
-def nth_before(x: Column | str, n: int, where: Column) -> Column:
-    """The n-th last value of x among rows where the condition holds, this one included (n from 1)."""
-    kept = F.collect_list(F.when(where, col(x))).over(U())
-    return F.try_element_at(kept, F.lit(-n))

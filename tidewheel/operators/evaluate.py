@@ -72,14 +72,19 @@ def pooled(sweep: DataFrame) -> DataFrame:
     return sweep.groupBy("threshold").agg(F.avg("fire_rate").alias("fire_rate"), *[x for s in ("long", "short") for x in (F.sum(f"{s}_fire_count").alias(f"{s}_n"), hits(s).alias(f"{s}_hit_rate"))])
 
 
-def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve by rank sums; tied scores share their mean rank.
+def auc(rows: DataFrame, score: str, positive: Column, ranges: int = 4096) -> DataFrame:
+    """Area under the ROC curve by rank sums; tied scores share their mean rank. Scores are probabilities.
 
-    Scores are counted first, so the running sum goes over different scores and not over rows.
+    Equal scores are counted first; then each of ``ranges`` equal ranges of scores is ranked by itself, and only
+    the ranges' sums are ranked over all, so no task holds all different scores.
     """
     n = rows.groupBy(c(score).alias("s")).agg(F.count("*").alias("k"), F.count_if(positive).alias("p"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("rank", F.coalesce(F.sum("k").over(below), F.lit(0)) + (c("k") + 1) / F.lit(2.0))
+    n = n.withColumn("range", F.floor(F.least(F.greatest(c("s"), F.lit(0.0)), F.lit(1.0)) * ranges))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = n.groupBy("range").agg(F.sum("k").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before(Window.orderBy("range"))), F.lit(0)))
+    n = n.join(sums.select("range", "offset"), "range")
+    inside = F.coalesce(F.sum("k").over(before(Window.partitionBy("range").orderBy("s"))), F.lit(0))
+    n = n.withColumn("rank", c("offset") + inside + (c("k") + 1) / F.lit(2.0))
     total = n.agg(F.sum(c("rank") * c("p")).alias("r"), F.sum("p").alias("np"), F.sum(c("k") - c("p")).alias("nn"))
     return total.select(F.try_divide(c("r") - c("np") * (c("np") + 1) / 2, c("np") * c("nn")).alias("auc"), c("np").alias("positives"), c("nn").alias("negatives"))
 

@@ -1,7 +1,7 @@
-"""Classifiers on Spark ML: walk-forward training, calibration, importance, search.
+"""Classifiers on Spark ML: walk-forward training, calibration, importance, contributions, search, saved models.
 
-Boosted three-class trees are not part of Spark ML; a random forest gives the
-three-class probabilities and boosted trees the one-sided models.
+Boosted three-class trees are not part of Spark ML: ``train_boosted`` fits boosted trees for each class against the rest and
+shares out their odds; ``train`` is a random forest with the same interface.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import random
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, MinMaxScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -55,11 +55,40 @@ def train_side(rows: DataFrame, features: list[str], side: int, rounds: int = 20
 
 def scored(model, rows: DataFrame, features: list[str]) -> DataFrame:
     """``rows`` with p0, p1, p2."""
-    out = model.transform(rows.withColumns({f: c(f).cast("double") for f in features})).withColumn("_p", vector_to_array("probability"))
+    out = model.transform(rows.withColumns({f: c(f).cast("double") for f in features}))
+    out = out.withColumn("_p", c("probability") if isinstance(model, OneVsRest) else vector_to_array("probability"))
     out = out.withColumns({p: F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)) for k, p in enumerate(P)})
     return out.select(*rows.columns, *P)
 
 
+class OneVsRest:
+    """Boosted trees for each class against the rest; the three probabilities are the softmax of their margins."""
+
+    def __init__(self, sides: list):
+        self.sides = sides
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a ``probability`` array."""
+        kept = rows.columns
+        for k, side in enumerate(self.sides):
+            rows = side.transform(rows).withColumn(f"_m{k}", vector_to_array("rawPrediction")[1] * 2).select(*kept, *[f"_m{j}" for j in range(k + 1)])
+        parts = [F.exp(f"_m{k}") for k in range(len(self.sides))]
+        return rows.withColumn("probability", F.array(*[p / sum(parts[1:], parts[0]) for p in parts])).drop(*[f"_m{k}" for k in range(len(self.sides))])
+
+    def save(self, path: str) -> None:
+        for k, side in enumerate(self.sides):
+            side.write().overwrite().save(f"{path}/class={k}")
+
+    @staticmethod
+    def load(path: str, classes: int = len(P)) -> OneVsRest:
+        return OneVsRest([PipelineModel.load(f"{path}/class={k}") for k in range(classes)])
+
+
+def train_boosted(rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 4, seed: int = 42) -> OneVsRest:
+    """Three-class boosting, one model a class, on balanced weights."""
+    return OneVsRest([train_side(rows, features, k, rounds, depth, seed) for k in range(len(P))])
+
+
 def calibrators(rows: DataFrame) -> list:
     """One isotonic regression per class against the rest."""
     return [IsotonicRegression(featuresCol=p, labelCol="_y").fit(rows.withColumn("_y", (c("label") == k).cast("double"))) for k, p in enumerate(P)]
@@ -73,16 +102,50 @@ def calibrated(models: list, rows: DataFrame) -> DataFrame:
     return rows.withColumns({p: c(f"_q{k}") / whole for k, p in enumerate(P)}).drop(*[f"_q{k}" for k in range(len(P))])
 
 
+def out_of_time(rows: DataFrame, features: list[str], train_share: float = 0.6, fit_share: float = 0.2, purge: int = 48, trainer=train_boosted, **how) -> DataFrame:
+    """(symbol, part, n, raw_log_loss, log_loss): a model and its calibration from a symbol's past, judged on its future.
+
+    The first ``train_share`` of each symbol's bars (by ``bar``) fits the model, the next ``fit_share`` its calibration,
+    the rest is the future; ``purge`` bars at each border are left out, as their labels look ahead.
+    """
+    at = (c("bar") - 1) / F.max("bar").over(Window.partitionBy("symbol"))
+    gap = F.lit(float(purge)) / F.max("bar").over(Window.partitionBy("symbol"))
+    second = train_share + fit_share
+    part = F.when(at < train_share, "train").when((at >= F.lit(train_share) + gap) & (at < second), "fit").when(at >= F.lit(second) + gap, "future")
+    rows = rows.where("label >= 0").withColumn("part", part).where("part is not null")
+    model = trainer(rows.where("part = 'train'"), features, **how)
+    raw = scored(model, rows, features)
+    sharp = calibrated(calibrators(raw.where("part = 'fit'")), raw.where("part = 'future'"))
+    both = log_loss(raw.where("part = 'future'"), ["symbol"]).withColumnRenamed("log_loss", "raw_log_loss")
+    return both.join(log_loss(sharp, ["symbol"]).drop("n"), "symbol").select("symbol", F.lit("future").alias("part"), "n", "raw_log_loss", "log_loss")
+
+
 def importance(model, rows: DataFrame, features: list[str], seed: int = 0) -> DataFrame:
-    """(feature, importance): how much the log loss grows when a feature is dealt anew among the rows."""
+    """(feature, importance): how much the log loss grows when a feature is dealt anew among the rows.
+
+    One pass: rows meet the row that is drawn for them once, each is scored once per feature with that one value
+    exchanged, and the losses are averaged by feature.
+    """
     base = log_loss(scored(model, rows, features)).first()[0]
     at, drawn = Window.partitionBy("symbol").orderBy("ts"), Window.partitionBy("symbol").orderBy(F.xxhash64("symbol", "ts", F.lit(seed)), "ts")
-    found = []
-    for f in features:
-        right = rows.select(c("symbol").alias("_s"), c(f).alias("_v"), F.row_number().over(drawn).alias("_q"))
-        mixed = rows.drop(f).withColumn("_r", F.row_number().over(at)).join(right, (c("symbol") == c("_s")) & (c("_r") == c("_q"))).withColumnRenamed("_v", f)
-        found.append((f, float(log_loss(scored(model, mixed, features)).first()[0] - base)))
-    return rows.sparkSession.createDataFrame(found, "feature string, importance double")
+    right = rows.select(c("symbol").alias("_s"), F.struct(*features).alias("_v"), F.row_number().over(drawn).alias("_q"))
+    mixed = rows.withColumn("_r", F.row_number().over(at)).join(right, (c("symbol") == c("_s")) & (c("_r") == c("_q")))
+    mixed = mixed.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    mixed = mixed.withColumns({f: F.when(c("feature") == f, c(f"_v.{f}")).otherwise(c(f)) for f in features}).drop("_s", "_v", "_q", "_r")
+    return log_loss(scored(model, mixed, features), ["feature"]).select("feature", (c("log_loss") - F.lit(float(base))).alias("importance"))
+
+
+def contributions(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with contribution_<feature>: what each class-0 score changes when the feature is set to its median, row by row.
+
+    A stand-in for tree path attributions that needs one pass and no access to the trees.
+    """
+    middle = rows.agg(*[F.percentile_approx(f, 0.5, F.lit(10_000)).alias(f) for f in features]).first()
+    whole = scored(model, rows, features).withColumnRenamed("p0", "_p")
+    each = whole.drop(*P).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    each = each.withColumns({f: F.when(c("feature") == f, F.lit(middle[f])).otherwise(c(f)) for f in features})
+    each = scored(model, each, features).withColumn("contribution", c("_p") - c("p0"))
+    return each.groupBy("symbol", "ts").pivot("feature", features).agg(F.first("contribution")).withColumnsRenamed({f: f"contribution_{f}" for f in features})
 
 
 def search(folds: list[tuple[DataFrame, DataFrame]], features: list[str], space: dict[str, list], trials: int = 10, seed: int = 0) -> list[tuple[dict, float]]:

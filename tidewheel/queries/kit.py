@@ -187,7 +187,7 @@ def fractal_measures(s, d):
 SELECT r.symbol, r.ts, {r6('e')} AS price_entropy FROM r LEFT JOIN (SELECT symbol, ts, sum(-k / 50.0 * ln(k / 50.0)) AS e FROM k WHERE n = 50 GROUP BY symbol, ts) USING (symbol, ts)""")
 def price_entropy(s, d):
     df = daily(s, d).withColumn("_return", F.ln(x.ratio("close", x.lag("close"))))
-    return shown(df.withColumn("price_entropy", statistics.entropy("_return", 50)), "price_entropy")
+    return shown(statistics.with_entropy(df, "_return", 50, "price_entropy"), "price_entropy")
 
 
 @query("efficiency", f"WITH {HOURLY}, m AS (SELECT *, abs(close - {lag('close')}) AS mv FROM b) {select({'efficiency_ratio': f'abs(close - {lag("close", 14)}) / nullif({full("sum", "mv", 14)}, 0)'}, 'm')}")
