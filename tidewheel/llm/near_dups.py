@@ -242,3 +242,25 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, t
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 1], ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n) GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 180 * count(*) >= 80 * (na.n + nb.n)
+), l AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), c(id, seen) AS (
+  SELECT a, b FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.seen
+), m AS (
+  SELECT id, min(seen) AS root FROM c GROUP BY id
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(m.root, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.root, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
+"""

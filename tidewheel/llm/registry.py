@@ -21,6 +21,8 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op3_shard": sharding.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op8_urls": urls.OP8_SQL,
+    "op9_near_dups": near_dups.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }

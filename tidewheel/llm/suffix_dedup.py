@@ -365,3 +365,27 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats(docs).select("id", "row", F.size("removed").cast("long").alias("n"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha"))
     both = _with(all_, cut, "left")
     return both.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"), F.coalesce("n", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(1, n - {LENGTH} + 2)) AS i FROM d WHERE n >= {LENGTH})
+), r AS (
+  SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, (i - lag(i, 1, -{LENGTH}) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH})::INT AS new FROM r
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + {LENGTH - 1} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS x, a - 1 AS y FROM s
+  UNION ALL SELECT s.doc_id, max(d.n) + 1, max(b) + 1, max(d.n) FROM s JOIN d USING (doc_id) GROUP BY s.doc_id
+), q AS (
+  SELECT doc_id, string_agg(substr(h, (2 * x - 1)::BIGINT, (2 * (y - x + 1))::BIGINT), '' ORDER BY a) AS left_hex FROM p JOIN d USING (doc_id) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, sum(b - a + 1)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(coalesce(q.left_hex, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
