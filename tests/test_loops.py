@@ -1,5 +1,6 @@
 """Window forms of state machines against plain loops."""
 
+import itertools
 import math
 import random
 
@@ -80,40 +81,44 @@ def test_swing_ratio(bars):
 
 
 def test_recovery_speed(bars):
+    """Exits first; each is completed by its first bar at the middle before the next exit."""
     df = bars.withColumn("v", (F.col("close") - x.lowest("low", 14)) / (x.highest("high", 14) - x.lowest("low", 14)) * 100)
     df = df.withColumn("far", x.flag((F.col("v") > 80) | (F.col("v") < 20)))
     got, v, far = each(events.recovery(df, "v", "far", "speed"), "speed"), each(df, "v"), each(df, "far")
     for s in got:
-        start, up, last, want = None, None, None, []
-        for i, (y, f) in enumerate(zip(v[s], far[s])):
-            y = none(y)
-            if i and not f and far[s][i - 1]:
-                start, up = i, v[s][i - 1] <= 50
-            if start is not None and y is not None and (y >= 50 if up else y <= 50):
-                last, start = i - start, None
-            want.append(last)
-        alike(got[s], want)
+        y = [none(q) for q in v[s]]
+        exits = [e for e in range(1, len(y)) if far[s][e - 1] and not far[s][e]]
+        done = {}
+        for e, end in zip(exits, [*exits[1:], len(y)]):
+            reached = [j for j in range(e, end) if y[j] is not None and (y[j] - 50) * (1 if y[e - 1] <= 50 else -1) >= 0]
+            if reached:
+                done[reached[0]] = reached[0] - e
+        assert len(done) > 5
+        alike(got[s], [done.get(max((j for j in done if j <= i), default=None)) for i in range(len(y))])
 
 
 def test_depth_and_length(bars):
+    """Episodes are runs of one kind; a bar reads the extreme of the latest one so far."""
     from tidewheel.features import momentum
 
     df = events.stochastic(momentum.stochastic(bars, DEFAULT), DEFAULT)
     k, depth, length = each(df, "stoch_k"), each(df, "stoch_last_extreme_depth"), each(df, "stoch_bars_in_ob")
     for s in k:
-        kind, far, last, run, done, want, want_n = 0, None, None, 0, None, [], []
-        for v in map(none, k[s]):
-            now = 0 if v is None else 1 if v > 80 else 2 if v < 20 else 0
-            if now:
-                far = v if now != kind else (max if now == 1 else min)(far, v)
-                last = far - 80 if now == 1 else 20 - far
-            kind = now
-            run = run + 1 if now == 1 else 0
-            done = run or done
-            want.append(last)
-            want_n.append(done)
-        alike(depth[s], want)
-        alike(length[s], want_n)
+        y = [none(q) for q in k[s]]
+        kinds = ["-" if q is None or 20 <= q <= 80 else "high" if q > 80 else "low" for q in y]
+        runs, start = [], 0
+        for kind, run in itertools.groupby(kinds):
+            n = len(list(run))
+            runs.append((start, start + n, kind))
+            start += n
+        for i in range(len(y)):
+            extremes = [(a, min(b, i + 1), kind) for a, b, kind in runs if a <= i and kind != "-"]
+            high = [(a, b) for a, b, kind in extremes if kind == "high"]
+            want = None
+            if extremes:
+                a, b, kind = extremes[-1]
+                want = max(y[a:b]) - 80 if kind == "high" else 20 - min(y[a:b])
+            alike([depth[s][i], length[s][i]], [want, high[-1][1] - high[-1][0] if high else None])
 
 
 def test_triple_barrier_and_trail(bars):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewheel.features import candles as candle_features
@@ -365,23 +364,6 @@ def adx_di(s, d):
     return shown(recursive.with_series(hourly(s, d), recursive.base_series, DEFAULT), "di_plus", "di_minus")
 
 
-@query("recursive_series")
-def recursive_series(s, d):
-    """WaveTrend, ADX, TSI, VFI, double and triple means, adaptive mean and SAR."""
-    return shown(recursive.with_series(hourly(s, d), recursive.base_series, DEFAULT), "wt1_5min", "adx", "tsi", "vfi", "_dema", "_tema", "_kama", "_sar", "psar_direction")
-
-
-@query("trails")
-def trails(s, d):
-    """SuperTrend and the trailing stop."""
-
-    def make(b, g):
-        line, side = recursive.supertrend(b)
-        return {"supertrend": pd.Series(line), "supertrend_direction": pd.Series(side), "trail": pd.Series(recursive.trailing_stop(b))}
-
-    return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "supertrend", "supertrend_direction", "trail")
-
-
 @query("heikin_ashi", f"WITH RECURSIVE {HOURLY}, " + chain("b.symbol, b.ts, b.bar, (r.o + r.c) / 2, (b.open + b.high + b.low + b.close) / 4, b.high, b.low", "symbol, ts, bar, (open + close) / 2, (open + high + low + close) / 4, high, low", "symbol, ts, bar, o, c, hi, lo") + f" {select({'ha_open': 'o', 'ha_close': 'c', 'ha_high': 'greatest(hi, o, c)', 'ha_low': 'least(lo, o, c)'}, 'r')}")
 def heikin_ashi(s, d):
     return shown(candle_features.heikin_ashi(hourly(s, d)), "ha_open", "ha_close", "ha_high", "ha_low")

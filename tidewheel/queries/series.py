@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewheel.features import context, events, momentum, statistics
@@ -233,3 +234,37 @@ def higher_timeframe(s, d):
     weeks = indexed(recursive.with_series(ops.resampled(df, "week").select("symbol", "ts", "open", "high", "low", "close", "volume"), recursive.higher_series, DEFAULT))
     made, names = context.higher_columns(weeks, DEFAULT)
     return numbers(ops.previous_higher(df, made, names, "week"), *HIGHER)
+
+
+SAR = f"""w AS (SELECT *, {lag('high')} AS h1, {lag('low')} AS l1, {lag('high', 2)} AS h2, {lag('low', 2)} AS l2 FROM b),
+ s(symbol, bar, way, stop, ext, pace) AS (SELECT symbol, bar, CASE WHEN high >= h1 THEN 1 ELSE -1 END, CASE WHEN high >= h1 THEN l1 ELSE -h1 END, CASE WHEN high >= h1 THEN high ELSE -low END, 0.02::DOUBLE FROM w WHERE bar = 2
+ UNION ALL SELECT symbol, bar, CASE WHEN near < due THEN -way ELSE way END, CASE WHEN near < due THEN -ext ELSE due END, CASE WHEN near < due THEN CASE way WHEN 1 THEN -low ELSE high END ELSE greatest(far, ext) END, CASE WHEN near < due THEN 0.02::DOUBLE WHEN far > ext THEN least(pace + 0.02::DOUBLE, 0.2::DOUBLE) ELSE pace END
+   FROM (SELECT w.symbol, w.bar, w.high, w.low, s.way, s.ext, s.pace, CASE s.way WHEN 1 THEN w.low ELSE -w.high END AS near, CASE s.way WHEN 1 THEN w.high ELSE -w.low END AS far,
+     least(s.stop + s.pace * (s.ext - s.stop), CASE s.way WHEN 1 THEN w.l1 ELSE -w.h1 END, CASE s.way WHEN 1 THEN w.l2 ELSE -w.h2 END) AS due FROM s JOIN w ON w.symbol = s.symbol AND w.bar = s.bar + 1))"""
+WALKED = {"wt1_5min": "v.wt1", "adx": "v.adx", "tsi": "v.tsi", "vfi": "f5.vfi", "_dema": "v.dema", "_tema": "v.tema", "_kama": "v.kama", "_sar": "s.way * s.stop", "psar_direction": "coalesce(s.way, 0)"}
+
+
+@query("recursive_series", f"WITH RECURSIVE {series(HOURLY, ('wt1', 'adx', 'tsi', 'dema', 'kama'))}, {FLOW}, {SAR} {select(WALKED, 'v JOIN f5 ON f5.symbol = v.symbol AND f5.bar = v.bar LEFT JOIN s ON s.symbol = v.symbol AND s.bar = v.bar', 'v.symbol, v.ts')}")
+def recursive_series(s, d):
+    """WaveTrend, ADX, TSI, VFI, double and triple means, adaptive mean and SAR."""
+    return shown(based(s, d), *WALKED)
+
+
+UP, DOWN = "CASE WHEN q.u IS NULL THEN c.up WHEN c.up IS NULL OR q.u < c.up OR c.close > c.up THEN q.u ELSE c.up END", "CASE WHEN q.v IS NULL THEN c.down WHEN c.down IS NULL OR q.v > c.down OR c.close < c.down THEN q.v ELSE c.down END"
+TRAILS = f"""p AS (SELECT *, {TR} AS tr FROM b), r(symbol, bar, a) AS (SELECT symbol, bar, tr FROM p WHERE bar = 1 UNION ALL SELECT p.symbol, p.bar, r.a + 0.1::DOUBLE * (p.tr - r.a) FROM r JOIN p ON p.symbol = r.symbol AND p.bar = r.bar + 1),
+ q AS (SELECT b.*, 2 * a AS g, (high + low) / 2 + 3 * a AS u, (high + low) / 2 - 3 * a AS v FROM b JOIN (SELECT symbol, bar, CASE WHEN bar >= 10 THEN a END AS a FROM r) r ON r.symbol = b.symbol AND r.bar = b.bar),
+ c(symbol, ts, bar, close, warm, up, down, way, st) AS (SELECT symbol, ts, bar, close, false, NULL::DOUBLE, NULL::DOUBLE, 1, NULL::DOUBLE FROM q WHERE bar = 1
+ UNION ALL SELECT q.symbol, q.ts, q.bar, q.close, q.u IS NOT NULL, {UP}, {DOWN}, CASE WHEN q.u IS NULL THEN c.way WHEN q.close > {UP} THEN 1 WHEN q.close < {DOWN} THEN -1 ELSE c.way END,
+   CASE WHEN q.g IS NULL THEN NULL WHEN c.st IS NULL THEN q.close - q.g WHEN q.close > c.st AND c.close > c.st THEN greatest(c.st, q.close - q.g) WHEN q.close < c.st AND c.close < c.st THEN least(c.st, q.close + q.g) WHEN q.close > c.st THEN q.close - q.g ELSE q.close + q.g END
+   FROM c JOIN q ON q.symbol = c.symbol AND q.bar = c.bar + 1)"""
+
+
+@query("trails", f"WITH RECURSIVE {HOURLY}, {TRAILS} {select({'supertrend': 'CASE WHEN warm THEN CASE WHEN way > 0 THEN down ELSE up END END', 'supertrend_direction': 'CASE WHEN warm THEN way ELSE 0 END', 'trail': 'st'}, 'c')}")
+def trails(s, d):
+    """SuperTrend and the trailing stop."""
+
+    def make(b, g):
+        line, side = recursive.supertrend(b)
+        return {"supertrend": pd.Series(line), "supertrend_direction": pd.Series(side), "trail": pd.Series(recursive.trailing_stop(b))}
+
+    return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "supertrend", "supertrend_direction", "trail")
