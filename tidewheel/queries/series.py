@@ -139,17 +139,20 @@ def begun(flag: str) -> str:
     return f"({flag} = 1 AND coalesce({lag(flag)}, 0) = 0)::INT AS {flag}_on, {flag} = 0 AND {lag(flag)} = 1 AS {flag}_out"
 
 
-EVENT_WT = f"""{W2}, e0 AS (SELECT *, coalesce(wt1 > 20, false)::INT AS ob, coalesce(wt1 < -20, false)::INT AS os, {above('wt1', 'w2')} AS bull, {below('wt1', 'w2')} AS bear FROM k),
+def event_wt(level: int) -> str:
+    return f"""{W2}, e0 AS (SELECT *, coalesce(wt1 > {level}, false)::INT AS ob, coalesce(wt1 < -{level}, false)::INT AS os, {above('wt1', 'w2')} AS bull, {below('wt1', 'w2')} AS bear FROM k),
  e1 AS (SELECT *, {entered('ob')}, {entered('os')}, {begun('ob')}, {begun('os')} FROM e0), e2 AS (SELECT *, sum(ob_on) {SOFAR} AS oid, sum(os_on) {SOFAR} AS sid FROM e1),
- e3 AS (SELECT *, max(CASE WHEN ob = 1 THEN wt1 END) OVER (PARTITION BY symbol, oid ORDER BY ts) - 20 AS beyond, -20 - min(CASE WHEN os = 1 THEN wt1 END) OVER (PARTITION BY symbol, sid ORDER BY ts) AS under FROM e2),
+ e3 AS (SELECT *, max(CASE WHEN ob = 1 THEN wt1 END) OVER (PARTITION BY symbol, oid ORDER BY ts) - {level} AS beyond, -{level} - min(CASE WHEN os = 1 THEN wt1 END) OVER (PARTITION BY symbol, sid ORDER BY ts) AS under FROM e2),
  e4 AS (SELECT *, last_value(beyond IGNORE NULLS) {SOFAR} AS lo, last_value(under IGNORE NULLS) {SOFAR} AS lu FROM e3)"""
+
+
 WT_MEMORY = {
     "wt_bars_since_ob_exit": since("ob_out"), "wt_bars_since_os_exit": since("os_out"), "wt_bars_since_bull_cross": since("bull"), "wt_bars_since_bear_cross": since("bear"), "wt_ob_count_100": entries("ob", 100), "wt_os_count_100": entries("os", 100),
     "wt_last_ob_depth": "CASE WHEN lo IS NOT NULL THEN greatest(lo, 0) END", "wt_last_os_depth": "CASE WHEN lu IS NOT NULL THEN greatest(lu, 0) END",
 }
 
 
-@query("event_wave_trend", f"WITH RECURSIVE {series(HOURLY, ('wt1',))}, {EVENT_WT} {select(WT_MEMORY, 'e4')}")
+@query("event_wave_trend", f"WITH RECURSIVE {series(HOURLY, ('wt1',))}, {event_wt(20)} {select(WT_MEMORY, 'e4')}")
 def event_wave_trend(s, d):
     """Levels of 20, which hourly bars of events do reach."""
     g = replace(DEFAULT, wt_high=20.0, wt_low=-20.0)
@@ -268,3 +271,20 @@ def trails(s, d):
         return {"supertrend": pd.Series(line), "supertrend_direction": pd.Series(side), "trail": pd.Series(recursive.trailing_stop(b))}
 
     return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "supertrend", "supertrend_direction", "trail")
+
+
+RECOVERY = f"""g0 AS (SELECT symbol, ts, bar, (close - {full('min', 'low', 14)}) / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0) * 100 AS f FROM b), g1 AS (SELECT *, {full('avg', 'f', 3)} AS k FROM g0), g2 AS (SELECT *, coalesce(k > 80 OR k < 20, false)::INT AS far FROM g1),
+ g3 AS (SELECT *, coalesce(far = 0 AND {lag('far')} = 1, false)::INT AS ex, {lag('k')} AS k1 FROM g2), g4 AS (SELECT *, sum(ex) {SOFAR} AS g FROM g3), g5 AS (SELECT *, first_value(k1) OVER (PARTITION BY symbol, g ORDER BY ts) <= 50 AS up, first_value(bar) OVER (PARTITION BY symbol, g ORDER BY ts) AS i0 FROM g4),
+ g6 AS (SELECT *, coalesce(g > 0 AND CASE WHEN up THEN k >= 50 ELSE k <= 50 END, false)::INT AS there FROM g5), g7 AS (SELECT *, CASE WHEN there = 1 AND sum(there) OVER (PARTITION BY symbol, g ORDER BY ts) = 1 THEN bar - i0 END AS sp FROM g6), g8 AS (SELECT symbol, bar, last_value(sp IGNORE NULLS) {SOFAR} AS speed FROM g7)"""
+MEMORY = {
+    "stoch_recovery_speed": "g8.speed", "wt_last_ob_depth": "CASE WHEN lo IS NOT NULL THEN greatest(lo, 0) END", "wt_last_os_depth": "CASE WHEN lu IS NOT NULL THEN greatest(lu, 0) END", "rsi_bars_since_50_cross": "m.rsi_cross", "rsi_time_above_50_pct": "m.rsi_up * 100",
+    "macd_bars_since_bull_cross": "m.macd_cross", "macd_hist_max_50": "m.hist_top",
+}
+OTHERS = f"m0 AS (SELECT *, {above('rsi', '50')} OR {below('rsi', '50')} AS met, {above('hist', '0')} AS rise, coalesce(rsi > 50, false)::INT AS high_rsi FROM v), m AS (SELECT symbol, bar, {since('met')} AS rsi_cross, {full('avg', 'high_rsi', 50)} AS rsi_up, {since('rise')} AS macd_cross, {full('max', 'hist', 50)} AS hist_top FROM m0)"
+
+
+@query("event_memory", f"WITH RECURSIVE {series(HOURLY, ('wt1', 'rsi', 'macd'))}, {event_wt(60)}, {RECOVERY}, {OTHERS} {select(MEMORY, 'e4 JOIN g8 ON g8.symbol = e4.symbol AND g8.bar = e4.bar JOIN m ON m.symbol = e4.symbol AND m.bar = e4.bar', 'e4.symbol, e4.ts')}")
+def event_memory(s, d):
+    """Recovery speed, WaveTrend, RSI and MACD memory over hourly bars."""
+    df = momentum.stochastic(momentum.macd(momentum.wave_trend(based(s, d), DEFAULT), DEFAULT), DEFAULT)
+    return numbers(events.macd(events.rsi(events.wave_trend(events.stochastic(df, DEFAULT), DEFAULT), DEFAULT), DEFAULT), *MEMORY)

@@ -86,15 +86,6 @@ def stoch_events(s, d):
     return shown(df.withColumns({n: c(n).cast("double") for n in names}), *names)
 
 
-@query("event_memory")
-def event_memory(s, d):
-    """Recovery speed, WaveTrend, RSI, MACD, squeeze and ADX memory over hourly bars; loops check them in the tests."""
-    df = recursive.with_series(hourly(s, d), recursive.base_series, G)
-    df = events.stochastic(momentum.stochastic(momentum.macd(momentum.wave_trend(momentum.squeeze_momentum(df, G), G), G), G), G)
-    df = events.macd(events.rsi(events.wave_trend(df, G), G), G)
-    return shown(df, "stoch_recovery_speed", "wt_last_ob_depth", "wt_last_os_depth", "rsi_bars_since_50_cross", "rsi_time_above_50_pct", "macd_bars_since_bull_cross", "macd_hist_max_50")
-
-
 @query("price_events", f"WITH {HOURLY} {select({'bars_since_new_high_20': f'bar - max(CASE WHEN nh THEN bar END) {SOFAR}', 'bars_since_new_low_20': f'bar - max(CASE WHEN nl THEN bar END) {SOFAR}', 'bars_since_volume_spike': f'bar - max(CASE WHEN sp THEN bar END) {SOFAR}'}, f'(SELECT *, high = {full("max", "high", 20)} AS nh, low = {full("min", "low", 20)} AS nl, volume > 3 * {full("avg", "volume", 20)} AS sp FROM b)')}")
 def price_events(s, d):
     names = ["bars_since_new_high_20", "bars_since_new_low_20", "bars_since_volume_spike"]
@@ -136,9 +127,16 @@ def class_weights(s, d):
     return shown(labels.balanced_weights(labels.triple_barrier(with_range(hourly(s, d)), G).where("label >= 0")), "weight")
 
 
-@query("trailing_label")
+TRAIL = f"""a AS (SELECT *, {RANGE14} AS atr, count(*) OVER (PARTITION BY symbol) AS n FROM b),
+ o AS (SELECT a.symbol, a.bar, a.close AS c0, 2 * a.atr AS gap, f.bar AS j, f.high, f.low, f.close, greatest(a.close, max(f.close) OVER w) AS top, least(a.close, min(f.close) OVER w) AS bottom FROM a JOIN b f ON f.symbol = a.symbol AND f.bar BETWEEN a.bar + 1 AND a.bar + 96
+   WHERE a.bar + 96 <= a.n AND a.atr > 0 WINDOW w AS (PARTITION BY a.symbol, a.bar ORDER BY f.bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ k AS (SELECT symbol, bar, any_value(c0) AS c0, arg_min(top - gap, j) FILTER (low < top - gap) AS below, arg_min(bottom + gap, j) FILTER (high > bottom + gap) AS above, arg_max(close, j) AS fin FROM o GROUP BY symbol, bar),
+ q AS (SELECT b.symbol, b.ts, (coalesce(below, fin) - c0) / c0 * 100 AS l, -(coalesce(above, fin) - c0) / c0 * 100 AS s FROM b LEFT JOIN k ON k.symbol = b.symbol AND k.bar = b.bar)"""
+
+
+@query("trailing_label", f"WITH {HOURLY}, {TRAIL} SELECT symbol, ts, {r6('l')} AS long_pnl_pct, {r6('s')} AS short_pnl_pct, (CASE WHEN l IS NULL THEN -1 WHEN greatest(l, s) <= 0 THEN 2 WHEN l >= s THEN 0 ELSE 1 END)::BIGINT AS trail_label FROM q")
 def trailing_label(s, d):
-    """The side whose trailing stop kept more; a loop checks it in the tests."""
+    """The side whose trailing stop kept more."""
     return shown(labels.trailing_stop(with_range(hourly(s, d))), "long_pnl_pct", "short_pnl_pct", "trail_label")
 
 
