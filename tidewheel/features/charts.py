@@ -119,8 +119,18 @@ def hull(df: DataFrame, n: int = 55) -> DataFrame:
     return df.withColumn("hull_direction", direction(c("hull") > lag("hull", 2), c("hull") < lag("hull", 2)))
 
 
+def kernel(df: DataFrame, n: int = 26, width: float = 8.0, shape: float = 8.0) -> DataFrame:
+    """Mean of the last n closes with rational quadratic weights, and where it points."""
+    weights = F.array(*[F.lit((1 + k * k / (2 * shape * width * width)) ** -shape) for k in range(n)])
+    values = F.reverse(F.collect_list("close").over(R(n)))
+    df = df.withColumn("_k", values)
+    whole = F.aggregate(F.zip_with("_k", weights, lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b)
+    df = df.withColumn("kernel_mean", F.when(F.size("_k") == n, whole / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))).drop("_k")
+    return df.withColumn("kernel_direction", direction(diff("kernel_mean") > 0, diff("kernel_mean") < 0))
+
+
 def all_directions(df: DataFrame) -> DataFrame:
     """Every window indicator of this module on bars with ``chart_series``."""
-    for family in (crosses, donchian, power, detrended, band_cycle, channel_side, explosion, vortex, awesome, body_spike, hull):
+    for family in (crosses, donchian, power, detrended, band_cycle, channel_side, explosion, vortex, awesome, body_spike, hull, kernel):
         df = family(df)
     return df

@@ -130,3 +130,11 @@ HANG = f"""q AS (SELECT b.*, {full('max', 'close', 22)} - 3 * CASE WHEN b.bar >=
  {HANG} SELECT symbol, ts, {r6('l')} AS chandelier_long, {r6('h')} AS chandelier_short, {r6('way')} AS chandelier_direction FROM c""")
 def chandelier_exit(s, d):
     return numbers(recursive.with_series(hourly(s, d), charts.chart_series, DEFAULT), ["chandelier_long", "chandelier_short", "chandelier_direction"])
+
+
+KERNEL = f"l AS (SELECT *, {last('close', 26)} AS l FROM b), k AS (SELECT *, CASE WHEN len(l) = 26 THEN list_inner_product(l, w) / list_sum(w) END AS m FROM l, (SELECT [pow(1 + (26 - i) * (26 - i) / 1024.0::DOUBLE, -8) FOR i IN range(1, 27)] AS w))"
+
+
+@query("kernel_mean", f"WITH {HOURLY}, {KERNEL} {select({'kernel_mean': 'm', 'kernel_direction': side(f'm > {lag("m")}', f'm < {lag("m")}')}, 'k')}")
+def kernel_mean(s, d):
+    return numbers(charts.kernel(hourly(s, d)), ["kernel_mean", "kernel_direction"])
