@@ -181,12 +181,14 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT, with_text: boo
     sizes = work.store(stats.groupBy(*by).agg(F.count("*").alias("size")), "sizes")
     enough = sizes.where((F.col("size") >= LEAST) | (F.col("level") == 0)).select(*by)
     fields = [f"u_{x}" for x in X] + FACTORS
-    found = estimates(stats.join(enough, by, "left_semi"), by).select(*by, F.struct(*fields).alias("e"))
+    # Stored, so that every sum over it is taken before rows are dealt out by group.
+    fine = work.store(stats.join(enough, by, "left_semi"), "fine")
+    found = estimates(fine, by).select(*by, F.struct(*fields).alias("e"))
     ways = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col("own1") if k else F.lit("")).alias("g1"), (F.col("own2") if k > 1 else F.lit("")).alias("g2")) for k in (2, 1, 0)])).alias("g")
     est = sizes.where("level = 2").select(F.col("g1").alias("own1"), F.col("g2").alias("own2")).select("own1", "own2", ways).select("own1", "own2", "g.*")
     est = est.join(found, by).groupBy("own1", "own2").agg(F.max_by("e", "level").alias("e"))
     est = work.store(est.select(F.col("own1").alias("g1"), F.col("own2").alias("g2"), "e.*"), "of_group")
-    work.release("stats", "sizes", "estimates")
+    work.release("stats", "fine", "sizes", "estimates")
     both = counted.join(est, ["g1", "g2"], "left")
     # Cleaner than the centre is not odd: only word length counts on both sides.
     both = both.withColumns({x: F.greatest(F.col(x), F.coalesce(F.col(f"u_{x}"), F.col(x))) for x in X[1:]})
