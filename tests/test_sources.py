@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import evaluate, model
 from tidewheel.queries import trading
 from tidewheel.sources import replay, tables
+from tidewheel.streaming import live
 
 
 def bars(spark, rows):
@@ -74,6 +75,52 @@ def test_stream_runs_share_no_folder(spark, sf, tmp_path, monkeypatch):
         assert trading.stream_tumbling_bars(spark, where).columns[0] == "symbol"
 
 
+def test_follower_goes_on_after_a_restart(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"file://{tmp_path}/bars"
+    days = [("A", "2024-01-01", 1), ("A", "2024-01-02", 2)], [("A", "2024-01-02", 3), ("B", "2024-02-01", 4)]
+    for rows in days:
+        bars(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(bars(spark, rows).schema).parquet(source)
+        live.following(stream, path, f"file://{tmp_path}/stage", f"file://{tmp_path}/state", available_now=True).awaitTermination()
+    assert sorted((r.symbol, r.close) for r in tables.scan(spark, path).collect()) == [("A", 1.0), ("A", 3.0), ("B", 4.0)]
+
+
+def test_late_ticks_are_dropped(spark, tmp_path):
+    schema = "symbol string, ts timestamp, price double, size double, seq long"
+    batches = [[("A", "2024-01-01 00:10:00", 1.0, 1)], [("A", "2024-01-01 03:00:00", 2.0, 2)], [("A", "2024-01-01 00:20:00", 9.0, 3), ("A", "2024-01-01 03:01:00", 3.0, 4)], [("A", "2024-01-01 06:00:00", 5.0, 5)]]
+    for k, rows in enumerate(batches):
+        made = spark.createDataFrame([(s, pd.Timestamp(t).to_pydatetime(), p, 1.0, q) for s, t, p, q in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        live.appending(live.tumbling_bars(stream, "1 hour"), f"{tmp_path}/out", f"{tmp_path}/state", available_now=True).awaitTermination()
+    got = {r.ts.hour: (r.volume, r.high) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: (1.0, 1.0), 3: (2.0, 3.0)}
+
+
+def test_database_upsert(spark, tmp_path):
+    url, props = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    first = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0)], "coin string, at long, rate double")
+    first.write.option("createTableColumnTypes", "coin VARCHAR(255)").jdbc(url, "rates", properties=props)
+    tables.merge_jdbc(spark.createDataFrame([("A", 2, 5.0), ("B", 1, 7.0)], first.schema), url, "rates", ["coin", "at"], "rates_new", props)
+    assert sorted(tuple(r) for r in tables.from_jdbc(spark, url, "rates", props).collect()) == [("A", 1, 1.0), ("A", 2, 5.0), ("B", 1, 7.0)]
+
+
+def test_state_lookup(spark):
+    state = spark.createDataFrame([("c", "k", None, "ok", None, None), ("c", "l", None, "bad", None, None)], tables.STATE)
+    assert [r.last_status for r in tables.state_of(state, "c", "l").collect()] == ["bad"]
+
+
+def test_boosted_model_is_saved_and_loaded(spark, tmp_path):
+    rows = spark.range(240).select(F.lit("A").alias("symbol"), F.col("id").alias("ts"), (F.col("id") % 97 / 97.0 * 3).alias("f"), (F.col("id") % 13).cast("double").alias("g")).withColumn("label", F.floor("f").cast("int")).cache()
+    m = model.train_boosted(rows, ["f", "g"], rounds=3, depth=2)
+    m.save(f"file://{tmp_path}/m")
+    a, b = (model.scored(x, rows, ["f", "g"]).orderBy("ts").select("p0", "p1", "p2").collect() for x in (m, model.OneVsRest.load(f"file://{tmp_path}/m")))
+    assert a == b and all(abs(sum(r) - 1) < 1e-9 for r in a)
+    assert evaluate.log_loss(model.scored(m, rows, ["f", "g"])).first()[0] < 0.6
+    parts = model.contributions(m, rows, ["f", "g"])
+    assert parts.count() == 240 and parts.agg(F.max(F.abs("contribution_g"))).first()[0] < parts.agg(F.max(F.abs("contribution_f"))).first()[0]
+
+
 def test_models_learn_and_calibrate(spark):
     rows = spark.range(600).select(F.lit("A").alias("symbol"), F.col("id").alias("ts"), (F.rand(1) * 3).alias("f"), F.rand(2).alias("noise")).withColumn("label", F.floor("f").cast("int"))
     rows = rows.withColumn("noise", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("noise"))) if "id" in rows.columns else rows

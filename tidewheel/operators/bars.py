@@ -68,3 +68,28 @@ def previous_higher(bars: DataFrame, higher: DataFrame, columns: list[str], unit
     shifted = higher.select(F.col(KEY).alias("_k"), F.col(TIME).alias("_t"), *[F.lag(c).over(W()).alias(c) for c in columns])
     at = F.date_trunc(unit, F.col(TIME)).cast("timestamp_ntz")
     return bars.join(shifted, (F.col(KEY) == F.col("_k")) & (at == F.col("_t")), "left").drop("_k", "_t")
+
+
+def resumed(source: DataFrame, stored: DataFrame) -> DataFrame:
+    """What of a source is newer than each symbol's last stored bar; symbols without any come whole.
+
+    The watermarks are one row a symbol; stored bars are only read for their maximum.
+    """
+    last = watermarks(stored).select(F.col(KEY).alias("_s"), F.col("last_ts").alias("_last"))
+    rows = source.join(last, F.col(KEY) == F.col("_s"), "left")
+    return rows.where(F.col("_last").isNull() | (F.col(TIME) > F.col("_last"))).drop("_s", "_last")
+
+
+def caught_up(bars: DataFrame, source: DataFrame, seconds: int) -> DataFrame:
+    """``bars`` with what a source has for their gaps. A gap and the source meet by symbol and time range."""
+    holes = gaps(bars, seconds).select(F.col(KEY).alias("_s"), "after_ts", "before_ts")
+    rows = source.join(holes, (F.col(KEY) == F.col("_s")) & (F.col(TIME) > F.col("after_ts")) & (F.col(TIME) < F.col("before_ts")), "left_semi")
+    return bars.unionByName(rows.select(*bars.columns))
+
+
+def with_tape(bars: DataFrame, tape: DataFrame, names: list[str]) -> DataFrame:
+    """``bars`` with columns of another table of (symbol, ts), as they stood at the bar before: what a bar may know when it opens."""
+    order = Window.partitionBy(KEY).orderBy(TIME)
+    before = bars.withColumn("_p", F.lag(TIME).over(order))
+    right = tape.select(F.col(KEY).alias("_s"), F.col(TIME).alias("_t"), *names)
+    return before.join(right, (F.col(KEY) == F.col("_s")) & (F.col("_p") == F.col("_t")), "left").drop("_s", "_t", "_p")

@@ -141,10 +141,10 @@ def contributions(model, rows: DataFrame, features: list[str]) -> DataFrame:
     A stand-in for tree path attributions that needs one pass and no access to the trees.
     """
     middle = rows.agg(*[F.percentile_approx(f, 0.5, F.lit(10_000)).alias(f) for f in features]).first()
-    whole = scored(model, rows, features).withColumnRenamed("p0", "_p")
+    whole = scored(model, rows, features).withColumnRenamed("p0", "_whole")
     each = whole.drop(*P).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     each = each.withColumns({f: F.when(c("feature") == f, F.lit(middle[f])).otherwise(c(f)) for f in features})
-    each = scored(model, each, features).withColumn("contribution", c("_p") - c("p0"))
+    each = scored(model, each, features).withColumn("contribution", c("_whole") - c("p0"))
     return each.groupBy("symbol", "ts").pivot("feature", features).agg(F.first("contribution")).withColumnsRenamed({f: f"contribution_{f}" for f in features})
 
 

@@ -71,6 +71,29 @@ def from_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties)
 
 
+def merge_jdbc(rows: DataFrame, url: str, table: str, keys: list[str], staging: str, properties: dict[str, str]) -> None:
+    """Upserts rows into a database table: they are written to ``staging`` in parallel, and one MERGE takes them over by ``keys``, new ones winning."""
+    # Keys must be comparable: databases keep plain strings as large objects otherwise.
+    kinds = ", ".join(f"{f.name} VARCHAR(255)" for f in rows.schema.fields if f.name in keys and f.dataType == T.StringType())
+    write = latest_wins(rows, keys, [F.lit(1)]).write
+    (write.option("createTableColumnTypes", kinds) if kinds else write).jdbc(url, staging, mode="overwrite", properties=properties)
+    quoted = lambda c, of="": f'{of}"{c}"'
+    values = [c for c in rows.columns if c not in keys]
+    on = " AND ".join(f"{quoted(k, 't.')} = {quoted(k, 's.')}" for k in keys)
+    sets = ", ".join(f"{quoted(v)} = {quoted(v, 's.')}" for v in values)
+    names, fresh = ", ".join(map(quoted, rows.columns)), ", ".join(quoted(c, "s.") for c in rows.columns)
+    jvm = rows.sparkSession.sparkContext._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        update = f"WHEN MATCHED THEN UPDATE SET {sets} " if values else ""
+        connection.createStatement().execute(f"MERGE INTO {table} t USING {staging} s ON {on} {update}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({fresh})")
+    finally:
+        connection.close()
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -84,6 +107,11 @@ def mark_state(state: DataFrame, change: DataFrame) -> DataFrame:
     return latest_wins(state.unionByName(change), ["collector", "key"], [F.col("updated_at")])
 
 
+def state_of(state: DataFrame, collector: str, key: str) -> DataFrame:
+    """The one row of a collector's key in the state table, or none."""
+    return state.where((F.col("collector") == collector) & (F.col("key") == key))
+
+
 def parsed_trades(raw: DataFrame, column: str = "value") -> DataFrame:
     """Trades from messages ``{"channel": "trades", "data": [...]}``; other channels and malformed rows are left out."""
     item = "array<struct<time:bigint,coin:string,tid:bigint,side:string,px:string,sz:string>>"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewheel.operators.bars import latest_wins
+from tidewheel.sources.tables import upsert_bars
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -45,3 +46,8 @@ def appending(rows: DataFrame, path: str, checkpoint: str, available_now: bool =
     """Parquet sink, exactly once."""
     writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+
+
+def following(bars: DataFrame, path: str, staging: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keeps a partitioned bar table up with a stream of bars: each micro-batch upserts the months it touches, and a restart goes on from the checkpoint."""
+    return upserting(bars, ["symbol", "ts"], ["ts"], lambda batch, number: upsert_bars(batch, path, f"{staging}/batch={number}"), checkpoint, available_now)
