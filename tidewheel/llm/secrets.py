@@ -42,6 +42,8 @@ STRICT, LOOSE = 1e-6, 1e-3
 FIT_ORDINARY = 4000
 #: Share of the fitted credentials that may be less likely than the threshold, and least odds against ordinary text in bits a character.
 BELOW, LEAST_BITS = 0.02, 0.5
+#: From twice so many examples on, half of them are held out to set the threshold.
+HELD = 20
 #: Character classes and their sizes; any other character of a token is its own class.
 CLASSES = (("abcdef", "a"), ("ghijklmnopqrstuvwxyz", "g"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("0123456789", "0"))
 CLASS_OF = str.maketrans({c: k for cs, k in CLASSES for c in cs})
@@ -70,7 +72,7 @@ def other_tokens(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[t
                 yield m.start() + v.start(1), m.end(), v[1]
 
 
-def known_formats(n: int = FIT) -> dict[str, list[str]]:
+def known_formats(n: int = 2 * FIT) -> dict[str, list[str]]:
     """``n`` made-up examples for each of some public credential formats, the same in every run.
 
     They stand beside the labelled credentials of the corpus, so that a format is known before a corpus labels it.
@@ -183,10 +185,12 @@ class Grammar:
 
     def __init__(self, labelled: dict[str, list[str]], formats: dict[str, list[str]] | None = None):
         examples = {k: labelled[k] for k in KINDS if labelled.get(k)} | (known_formats() if formats is None else formats)
-        self.kinds = {k: Automaton(v) for k, v in examples.items()}
+        # Every other example fits the automaton, the rest say how likely fresh ones are; few examples do both.
+        held = {k: v[1::2] if len(v) >= 2 * HELD else v for k, v in examples.items()}
+        self.kinds = {k: Automaton(v[::2] if len(v) >= 2 * HELD else v) for k, v in examples.items()}
         self.rest = Automaton(labelled.get(ORDINARY) or [""], LOOSE)
         # A token of a kind is as likely there as the kind's own examples, and likelier than as an ordinary token.
-        self.fits = {k: sorted(self.kinds[k].bits(s) / max(1, len(s)) for s in v)[int(BELOW * len(v))] for k, v in examples.items()}
+        self.fits = {k: sorted(self.kinds[k].bits(s) / max(1, len(s)) for s in v)[int(BELOW * len(v))] for k, v in held.items()}
         self.known: dict[str, float | None] = {}
 
     def odds(self, token: str) -> float:
