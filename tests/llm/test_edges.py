@@ -189,7 +189,10 @@ def test_hidden_credentials_are_found_and_words_are_not(spark):
     texts = [prose(rng, 15) + f" {'NAME=' if i % 2 else ''}{t} " + prose(rng, 9) for i, (_, t) in enumerate(planted)]
     labelled = [f"{prose(rng, 20)} secret={some(hexes, 40)} {prose(rng, 5)}" for _ in range(60)]
     phones = [f"{prose(rng, 10)} 555-{rng.randrange(1000, 9999)} Verantwortung SSverenung THERHAOU www.example.com/en/page?id=17 2024-11-28 {prose(rng, 10)}" for _ in range(50)]
-    docs = spark.createDataFrame(list(enumerate(texts + labelled + phones)), "doc_id long, text string")
+    # Ordinary text outweighs what is hidden in it: its tokens, hidden ones too, are what candidates are held against.
+    parts = ["an", "ber", "co", "der", "ent", "fa", "gra", "hin", "it", "jo", "ka", "lo", "men", "no", "ol", "per", "qui", "ra", "st", "tion"]
+    ordinary = [" ".join("".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts + labelled + phones + ordinary)), "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.scanned(docs).collect()}
     found = lambda i: [got[i].text[s.start : s.end] for s in got[i].secrets if s.kind == "grammar"]
     for kind in kinds:
