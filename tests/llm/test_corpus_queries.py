@@ -29,7 +29,7 @@ def test_same_as_sql(spark, sf, duck, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, fuzzy_lines, mixing, near_dups, quality, secrets, sharding, suffix_dedup, urls, warc
+from tidewheel.llm import decontaminate, fuzzy_lines, hard_negatives, mixing, near_dups, phrases, quality, secrets, sharding, suffix_dedup, topk, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_mix": mixing.op10_mix,
+    "op11_topk": topk.op11_topk,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -25,4 +28,7 @@ ORACLES = {
     "op8_urls": urls.OP8_SQL,
     "op9_near_dups": near_dups.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
+    "op11_topk": topk.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
