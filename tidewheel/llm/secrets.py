@@ -1,19 +1,18 @@
 """Secret scans with grammar inference.
 
-Patterns find labelled credentials in every whole text.  From a bounded
-sample of them, and from examples of some public formats, the states of a prefix tree are merged where their statistics
-agree (ALERGIA), which gives one probabilistic automaton for each kind and one for ordinary
-tokens.  Every candidate, the patterns' own matches too, is then scored by the likelihood of its format.
+Patterns find labelled credentials in every whole text.  A bounded sample of them is
+sorted by the characters they are made of; for each such shape the states of a prefix tree are merged where their statistics
+agree (ALERGIA), which gives a probabilistic automaton, and so for ordinary
+tokens.  Every candidate, the patterns' own matches too, is then scored by the likelihood of its format.  Nothing but the
+labelled credentials of the table says what a format is.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import re
-import string
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -38,10 +37,17 @@ FIT = 400
 ALPHA = 0.05
 #: Probability of a class that a state has never seen: credentials have strict formats, ordinary tokens vary.
 STRICT, LOOSE = 1e-6, 1e-3
-#: Ordinary tokens are more varied, so more of them are fitted.
-FIT_ORDINARY = 4000
-#: Share of the fitted credentials that may be less likely than the threshold, and least odds against ordinary text in bits a character.
-BELOW, LEAST_BITS = 0.02, 0.5
+#: Ordinary tokens are more varied, so more of them are fitted: occurrences, so that a token counts as often as it is met.
+FIT_ORDINARY = 6000
+#: Credentials that make a shape of their own; rarer shapes are joined where their letters agree.
+SHAPED = 8
+#: How many standard errors a token's mean may lie below that of held-out credentials, least odds against ordinary text in bits a
+#: character, and least odds in all: one ordinary token in a million is as likely as that by chance.
+ERRORS, LEAST_BITS, LEAST_ODDS = 3.0, 0.5, 20.0
+#: How often the ordinary tokens are fitted again without those that a shape explains better.
+ROUNDS = 2
+#: Tokens with so many occurrences in the sample are ordinary.
+COMMON = 3
 #: From twice so many examples on, half of them are held out to set the threshold.
 HELD = 20
 #: Character classes and their sizes; any other character of a token is its own class.
@@ -72,49 +78,48 @@ def other_tokens(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[t
                 yield m.start() + v.start(1), m.end(), v[1]
 
 
-def known_formats(n: int = 2 * FIT) -> dict[str, list[str]]:
-    """``n`` made-up examples for each of some public credential formats, the same in every run.
+def shape(credential: str) -> tuple[str, str, str]:
+    """What a credential is made of: the letters (by the narrowest alphabet), its other characters but digits, and what stands before the first of them."""
+    made = set(credential.translate(CLASS_OF))
+    letters = "hex" if not made & {"g", "A"} else "lower" if "A" not in made else "upper" if not made & {"a", "g"} else "mixed"
+    symbols = "".join(sorted(made - {"a", "g", "A", "0"}))
+    return letters, symbols, re.split("[^A-Za-z0-9]", credential)[0] if symbols else ""
 
-    They stand beside the labelled credentials of the corpus, so that a format is known before a corpus labels it.
+
+def shaped(labelled: dict[str, dict[str, int]]) -> dict[tuple[str, str, str], list[str]]:
+    """The labelled credentials of all kinds by shape, each once.
+
+    Of shapes with fewer than ``SHAPED`` credentials what stands first is left out of account, then the symbols ("*"); what is still rare goes.
     """
-    rng = random.Random(2)
-    some = lambda alphabet, size: "".join(rng.choices(alphabet, k=size))
-    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    base32 = string.ascii_uppercase + "234567"
-    made = {
-        "access_key": lambda: rng.choice(("AKIA", "ASIA")) + some(base32, 16),
-        "hex_key": lambda: some(hexes, rng.choice((32, 40, 64))),
-        "base64_key": lambda: some(alnum + "+/", 40),
-        "uuid": lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)),
-        "host_token": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + some(alnum, 36),
-        "mixed_key": lambda: some(alnum, rng.choice((24, 32))),
-    }
-    return {kind: [make() for _ in range(n)] for kind, make in made.items()}
+    by: dict[tuple[str, str, str], list[str]] = defaultdict(list)
+    for s in dict.fromkeys(s for k in KINDS for s in labelled.get(k, ())):
+        by[shape(s)].append(s)
+    for wider in (lambda k: (k[0], k[1], "*"), lambda k: (k[0], "*", "*")):
+        joined: dict[tuple[str, str, str], list[str]] = defaultdict(list)
+        for k, v in sorted(by.items()):
+            joined[k if len(v) >= SHAPED else wider(k)] += v
+        by = joined
+    return {k: v for k, v in by.items() if len(v) >= SHAPED}
 
 
 class Automaton:
-    """A probabilistic automaton over character classes, with the lengths of its strings.
-
-    The prefix tree thins out towards long strings' ends, where merging forgets how long they were; so the
-    length has a distribution of its own in place of the states' ends.
-    """
+    """A probabilistic automaton over character classes; how long its strings are is what its states' ends say."""
 
-    def __init__(self, strings: list[str], unseen: float = STRICT, alpha: float = ALPHA):
+    def __init__(self, strings: Iterable[str], unseen: float = STRICT, alpha: float = ALPHA, times: dict[str, int] | None = None):
         self.unseen = unseen
         self.n, self.end, self.to, self.seen = [0], [0], [{}], [{}]
         for s in strings:
-            q = 0
+            q, k = 0, times[s] if times else 1
             for c in s.translate(CLASS_OF):
-                self.n[q] += 1
-                self.seen[q][c] = self.seen[q].get(c, 0) + 1
+                self.n[q] += k
+                self.seen[q][c] = self.seen[q].get(c, 0) + k
                 if c not in self.to[q]:
                     self.to[q][c] = len(self.n)
                     for x, v in ((self.n, 0), (self.end, 0), (self.to, {}), (self.seen, {})):
                         x.append(v)
                 q = self.to[q][c]
-            self.n[q] += 1
-            self.end[q] += 1
-        self.sizes = Counter(map(len, strings))
+            self.n[q] += k
+            self.end[q] += k
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
 
@@ -167,46 +172,73 @@ class Automaton:
             else:
                 kept.append(new)
 
-    def bits(self, token: str, least: float = -math.inf) -> float:
-        """log2 of the token's probability, or minus infinity as soon as it falls below ``least``."""
-        q, total = 0, math.log2(max(self.sizes[len(token)] / max(1, self.sizes.total()), self.unseen))
+    def steps(self, token: str) -> tuple[list[float], float]:
+        """log2 of the probability of each character of the token, and of its end after them.
+
+        An end that a state has never seen counts half, so other lengths than those of the examples are unlikely and not impossible.
+        """
+        q, out = 0, []
         for c in token.translate(CLASS_OF):
-            n = self.n[q]
-            p = self.seen[q].get(c, 0) / n if n else 0
-            total += math.log2(max(p, self.unseen)) - BITS.get(c, 0.0)
-            if total < least:
-                return -math.inf
+            p = self.seen[q].get(c, 0) / self.n[q] if self.n[q] else 0
+            out.append(math.log2(max(p, self.unseen)) - BITS.get(c, 0.0))
             q = self.to[q].get(c, q)
-        return total
+        return out, math.log2(max(self.end[q], 0.5) / (self.n[q] + 1))
+
+    def bits(self, token: str) -> float:
+        """log2 of the token's probability."""
+        path, end = self.steps(token)
+        return sum(path) + end
 
 
 class Grammar:
-    """Automata of the credential kinds and of the known formats against that of ordinary tokens."""
-
-    def __init__(self, labelled: dict[str, list[str]], formats: dict[str, list[str]] | None = None):
-        examples = {k: labelled[k] for k in KINDS if labelled.get(k)} | (known_formats() if formats is None else formats)
-        # Every other example fits the automaton, the rest say how likely fresh ones are; few examples do both.
-        held = {k: v[1::2] if len(v) >= 2 * HELD else v for k, v in examples.items()}
-        self.kinds = {k: Automaton(v[::2] if len(v) >= 2 * HELD else v) for k, v in examples.items()}
-        self.rest = Automaton(labelled.get(ORDINARY) or [""], LOOSE)
-        # A token of a kind is as likely there as the kind's own examples, and likelier than as an ordinary token.
-        self.fits = {k: sorted(self.kinds[k].bits(s) / max(1, len(s)) for s in v)[int(BELOW * len(v))] for k, v in held.items()}
+    """Automata of the shapes of labelled credentials against that of ordinary tokens."""
+
+    def __init__(self, labelled: dict[str, dict[str, int]]):
+        self.shapes: dict[tuple[str, str, str], Automaton] = {}
+        self.fits: dict[tuple[str, str, str], tuple[float, float]] = {}
+        for name, examples in shaped(labelled).items():
+            # Every other example fits the automaton, the rest say how likely fresh ones are; few examples do both.
+            apart = len(examples) >= 2 * HELD
+            made = Automaton(examples[::2] if apart else examples)
+            paths = [made.steps(s)[0] for s in (examples[1::2] if apart else examples)]
+            means = [sum(p) / len(p) for p in paths]
+            mean = sum(means) / len(means)
+            # Spread of a character's bits: within strings, or between them if that is more.
+            within = sum((x - mean) ** 2 for p in paths for x in p) / sum(map(len, paths))
+            between = sum((m - mean) ** 2 * len(p) for m, p in zip(means, paths, strict=True)) / len(means)
+            self.shapes[name], self.fits[name] = made, (mean, math.sqrt(max(within, between)))
+        ordinary = labelled.get(ORDINARY) or {"": 1}
+        self.rest = Automaton(ordinary, LOOSE, times=ordinary)
+        # Unlabelled credentials among the ordinary tokens would teach the automaton of ordinary ones what they look like: rare
+        # tokens that a shape explains better are taken out.
+        for _ in range(ROUNDS):
+            kept = {t: n for t, n in ordinary.items() if n >= COMMON or not any(self.likeliest(x) > self.rest.bits(x) for x in (t, *VALUE.findall(t)))} or {"": 1}
+            self.rest = Automaton(kept, LOOSE, times=kept)
         self.known: dict[str, float | None] = {}
 
+    def likeliest(self, token: str) -> float:
+        """log2 of the token's probability in the likeliest of the shapes in which it is as likely as their own credentials, for its length; else minus infinity."""
+        best, n = -math.inf, max(1, len(token))
+        for name, made in self.shapes.items():
+            mean, spread = self.fits[name]
+            path, end = made.steps(token)
+            if sum(path) / n >= mean - ERRORS * spread / math.sqrt(n):
+                best = max(best, sum(path) + end)
+        return best
+
     def odds(self, token: str) -> float:
-        """Bits a character by which the token's likeliest kind explains it better than ordinary text does."""
-        most = max((a.bits(token) for a in self.kinds.values()), default=0.0)
+        """Bits a character by which the token's likeliest shape explains it better than ordinary text does."""
+        most = max((a.bits(token) for a in self.shapes.values()), default=0.0)
         return (most - self.rest.bits(token)) / max(1, len(token))
 
     def score(self, token: str) -> float | None:
-        """The odds of a token that some kind accepts, else null."""
+        """The odds of a token that some shape accepts and that is less likely as an ordinary one, else null."""
         if token not in self.known:
-            n = max(1, len(token))
-            fit = max((a.bits(token, self.fits[k] * n) for k, a in self.kinds.items()), default=-math.inf)
-            odds = (fit - self.rest.bits(token)) / n if fit > -math.inf else -math.inf
+            n, best = max(1, len(token)), self.likeliest(token)
+            odds = best - self.rest.bits(token) if best > -math.inf else -math.inf
             if len(self.known) >= 100_000:
                 self.known.clear()
-            self.known[token] = odds if odds >= LEAST_BITS else None
+            self.known[token] = odds / n if odds >= max(LEAST_ODDS, LEAST_BITS * n) else None
         return self.known[token]
 
     def accepts(self, token: str) -> bool:
@@ -217,25 +249,26 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) >> 1
 
 
-def labelled_sample(docs: DataFrame, text: str = "text", fit: int = FIT, fit_ordinary: int = FIT_ORDINARY) -> dict[str, list[str]]:
-    """For each kind the ``fit`` different strings of least hash in the whole table, and ``fit_ordinary`` other tokens."""
+def labelled_sample(docs: DataFrame, text: str = "text", fit: int = FIT, fit_ordinary: int = FIT_ORDINARY) -> dict[str, dict[str, int]]:
+    """For each kind the ``fit`` different strings of least hash in the whole table, and other tokens with their counts in a sample of ``fit_ordinary`` occurrences (those of least hash of token and text)."""
     most = dict.fromkeys(KINDS, fit) | {ORDINARY: fit_ordinary}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, ORDINARY)}
+            held: dict[str, set[tuple[int, str]]] = {k: set() for k in (*KINDS, ORDINARY)}
             for t in batch.column(0).to_pylist():
-                base = base_spans(t or "")
+                base, seed = base_spans(t or ""), _hash(t or "")
                 for _, k, _, secret in base:
-                    held[KINDS[k]][secret] = 0
-                for _, _, token in other_tokens(t or "", base):
-                    held[ORDINARY][token] = 0
-            rows = [(k, s, h) for k, v in held.items() for h, s in sorted((_hash(s), s) for s in v)[: most[k]]]
+                    held[KINDS[k]].add((_hash(secret), secret))
+                held[ORDINARY] |= {(xxhash.xxh64_intdigest(token, seed) >> 1, token) for _, _, token in other_tokens(t or "", base)}
+            rows = [(k, s, h) for k, v in held.items() for h, s in sorted(v)[: most[k]]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], (pa.string(), pa.string(), pa.int64())[i]) for i in range(3)], ["kind", "token", "hash"])
 
-    found = docs.select(F.col(f"`{text}`")).mapInArrow(run, "kind string, token string, hash long").distinct()
-    found = Scratch(docs.sparkSession).store(found, "labelled")
-    return {k: [r[0] for r in found.where(F.col("kind") == k).orderBy("hash", "token").limit(most[k]).select("token").collect()] for k in (*KINDS, ORDINARY)}
+    work = Scratch(docs.sparkSession)
+    found = work.store(docs.select(F.col(f"`{text}`")).mapInArrow(run, "kind string, token string, hash long").distinct(), "labelled")
+    sample = {k: dict(Counter(r.token for r in found.where(F.col("kind") == k).orderBy("hash", "token").limit(most[k]).select("token").collect())) for k in (*KINDS, ORDINARY)}
+    work.release("labelled")
+    return sample
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("bits", T.DoubleType())]))
@@ -248,9 +281,13 @@ def found_in(text: str, model: Grammar) -> list[dict]:
     reach = 0
     for s, e, token in other_tokens(text, base):
         bits = model.score(token)
-        if bits is not None and s >= reach:  # of a name=value the whole comes first, and at most one of the two counts
+        if bits is None:
+            continue
+        if s >= reach:
             found.append((s, len(KINDS), e, bits))
             reach = e
+        else:  # of a name=value the whole comes first, and the value counts if it is one by itself
+            found[-1] = (s, len(KINDS), e, bits)
     return [{"kind": (*KINDS, ADDED)[k], "start": s, "end": e, "bits": bits} for s, k, e, bits in sorted(found)]
 
 
@@ -258,10 +295,10 @@ def scanned(docs: DataFrame, text: str = "text", grammar: Grammar | None = None)
     """``docs`` with ``secrets``: spans (kind, start, end, bits) in code points, by start and then kind.
 
     Base spans are those of the patterns; the automata add tokens of 8 characters or more
-    outside them, of kind "grammar".  Every span has its score: the bits a character by which its likeliest format explains it better than
-    ordinary text does.  Null and empty texts have
+    outside them, of kind "grammar".  Every span has its score: the bits a character by which its likeliest shape explains it better than
+    ordinary text does (without any labelled credential, against a chance of one).  Null and empty texts have
     none, texts of any length are scanned whole, and repeated rows alike; a column named secrets is replaced, others may have any name; an empty table stays empty.  The
-    automata are small: fitted on at most ``FIT`` strings of each kind and ``FIT_ORDINARY`` others, those of least hash.
+    automata are small: fitted on at most ``FIT`` strings of each kind and ``FIT_ORDINARY`` occurrences of others, those of least hash.
     """
     spark = docs.sparkSession
     held = Aside(docs, ("secrets",))
@@ -279,8 +316,9 @@ def scanned(docs: DataFrame, text: str = "text", grammar: Grammar | None = None)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every row of ``documents``, and the score of each (``bits``, in the order of ``spans``). Nulls, ties and repeats as in ``scanned``."""
     found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("secrets", lambda x: x["kind"] != ADDED)
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.transform("secrets", lambda x: F.round(x["bits"], 6)).alias("bits"))

@@ -1,8 +1,8 @@
 """WARC archives of pages, and a capture index merged from sorted runs.
 
 Archives are written and read by Spark's own sources, so they can lie in any
-store: each record is a gzip member of its own, the text writer puts one zero byte (padding to gzip) behind
-it, and the binary reader hands archives of a bounded size to the parser.  An entry's offset and length are those of its
+store.  A task packs its records, each a gzip member of its own, into archives of a bounded size as it meets them; a file holds one
+archive, its members and nothing else, as any WARC or gzip tool reads it.  An entry's offset and length are those of its
 member in the archive, so a record can be read alone.
 """
 
@@ -24,8 +24,9 @@ from tidewheel.llm.tables import table
 
 #: Payloads of at least so many bytes are kept once.
 LEAST = 1000
-#: Records of an archive, and bytes of its payloads, at most (one larger record is an archive by itself).
-RECORDS, ARCHIVE_BYTES = 2000, 32 << 20
+#: Records of an archive, and packed bytes of all its records, at most (one larger record is an archive by itself).
+RECORDS, ARCHIVE_BYTES = 20_000, 32 << 20
+ENDING = ".warc.gz"
 #: Index entries of a key range that is merged in one task, about.
 MERGE_ROWS = 250_000
 #: The capture time of page 0; each page is a second later (beyond some 7,000 years it starts anew). The table has no times of its own.
@@ -114,11 +115,37 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     return F.concat(F.encode(head, "UTF-8"), body)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records, closed by their two line ends, as gzip members in a string column (bytes as they are: the text writer doesn't look at them)."""
+def _packed(batches: Iterator[pa.RecordBatch], records: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Archives without their last byte, which is zero and which the text writer adds as the end of its line (bytes as they are: it doesn't look at them)."""
+    held: list[bytes] = []
+    size = 0
+
+    def archive() -> pa.RecordBatch:
+        # A member ends with its length, so with a zero unless it is of 16 MB or more; then an empty member follows.
+        end = [] if held[-1][-1] == 0 else [gzip.compress(b"", mtime=0)]
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([*held, *end])[:-1]], pa.binary())], ["archive"])
+
     for batch in batches:
-        members = [gzip.compress(x.as_py() + CLOSE.encode(), 6, mtime=0) for x in batch.column("record")]
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+        for x in batch.column("record"):
+            member = gzip.compress(x.as_py() + CLOSE.encode(), 6, mtime=0)
+            if held and (len(held) >= records or size + len(member) > archive_bytes):
+                yield archive()
+                held, size = [], 0
+            held.append(member)
+            size += len(member)
+    if held:
+        yield archive()
+
+
+def _named(spark: SparkSession, path: str) -> None:
+    """Gives the written files the ending of archives."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(fs_path(path), False)
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName().endswith(".txt"):
+            fs.rename(at, fs_path(at.getParent(), at.getName()[: -len(".txt")] + ENDING))
 
 
 def write_archives(pages: DataFrame, path: str, records: int = RECORDS, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -129,7 +156,8 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS, least: i
     which only page ids and digests are shuffled for, partial maxima first;
     the pages meet the revisits among them in one equi-join on page_id.
     A null html is an empty payload, a null url an empty one; rows without a page id are responses.
-    An archive holds ``records`` records, or fewer if ones as long as the longest would exceed ``archive_bytes``.
+    An archive holds ``records`` records and ``archive_bytes`` packed bytes at most, by the running size: a long record closes
+    the archive before it and changes no other. Files are named ``ENDING`` by the driver, once they are all written.
     """
     work = Scratch(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
@@ -139,23 +167,19 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS, least: i
     kept = work.store(narrow.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null"), "kept")
     again = narrow.join(kept.select("digest", "target"), "digest").where("page_id <> target").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "target").distinct()
     again = work.store(again, "revisits")
-    longest = narrow.agg(F.max("size")).first()[0] or least
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     rows = rows.join(again, (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     made = record(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("target"), F.lit(None))
-    members = rows.select(made.alias("record")).mapInArrow(_packed, "member binary")
-    most = max(1, min(records, archive_bytes // longest))
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", most).text(path)
+    archives = rows.select(made.alias("record")).mapInArrow(lambda batches: _packed(batches, records, archive_bytes), "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    _named(pages.sparkSession, path)
     work.release("digests", "kept", "revisits")
 
 
 def members(data: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """(record, offset, length) of each gzip member of an archive, one at a time; zero bytes between them are padding."""
+    """(record, offset, length) of each gzip member of an archive that is not empty, one at a time."""
     at, whole = 0, memoryview(data)
     while at < len(data):
-        if data[at] == 0:
-            at += 1
-            continue
         unzip = zlib.decompressobj(wbits=31)
         record, end = [], at
         while not unzip.eof:
@@ -164,7 +188,8 @@ def members(data: bytes) -> Iterator[tuple[bytes, int, int]]:
             piece = whole[end : end + (1 << 16)]
             record.append(unzip.decompress(piece))
             end += len(piece) - len(unzip.unused_data)
-        yield b"".join(record), at, end - at
+        if any(record):
+            yield b"".join(record), at, end - at
         at = end
 
 
@@ -189,7 +214,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Digests and lengths of responses are taken from the payload as read; records are unpacked one at a time.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ENDING}").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64() if " long" in x else pa.string() for x in CDX.split(", ")]
@@ -284,6 +309,7 @@ def captured(pages: DataFrame, path: str | None = None, records: int = RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every row of ``pages``, as read back from its archive. Nulls, ties and repeats as in ``captured``."""
     return captured(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
