@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import phrases
+from tidewheel.llm import marks, phrases
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -52,7 +52,7 @@ def test_same_as_loop(spark, max_n, least, percent, first):
 
 
 def test_full_map_of_bits_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "MARKS", 64)
+    monkeypatch.setattr(marks, "MARKS", 64)
     got = phrases.collocations(spark.createDataFrame(rows(), SCHEMA))
     assert sorted(map(tuple, got.collect())) == brute(rows(), 3, 10, 50, 2000)
 

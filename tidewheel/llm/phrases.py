@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.marks import Marks
 from tidewheel.llm.scratch import Scratch
 from tidewheel.llm.tables import table
 
@@ -17,8 +18,6 @@ from tidewheel.llm.tables import table
 MAX_N, LEAST, PERCENT, FIRST = 3, 10, 50, 2000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENDS = "[.,;:!?\\x0A-\\x0D]"
-#: Bits of the map of frequent hashes that is sent to the rows: at most some 20 MB there.
-MARKS = 1 << 25
 #: Parts into which a language is cut before its first phrases are ranked.
 PARTS = 32
 #: Counts are decimals in scores: a * a * 10**6 has 36 digits at most.
@@ -47,25 +46,6 @@ def gram(at: Column, n: int) -> Column:
     return F.xxhash64("lang", *[F.get("words", at + k) for k in range(n)])
 
 
-class Marks:
-    """A map of bits for hashes, sent to rows that may hold one of them.
-
-    It has 32 bits for each hash, and ``MARKS`` in all at most: beyond that more rows pass, and still none is lost.
-    """
-
-    def __init__(self, hashes: DataFrame):
-        self.bits = min(MARKS, 1 << max(6, (32 * hashes.count()).bit_length()))
-        at = F.pmod("h", F.lit(self.bits))
-        self.words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-
-    def passed(self, rows: DataFrame, h: Column, name: str) -> DataFrame:
-        """The rows whose hash is marked."""
-        rows = rows.withColumn(name, F.pmod(h, F.lit(self.bits)))
-        words = self.words.select(F.col("word").alias(f"{name}_word"), F.col("mask").alias(f"{name}_mask"))
-        met = rows.join(F.broadcast(words), F.shiftright(name, 6) == F.col(f"{name}_word"))
-        return met.where(F.expr(f"shiftright({name}_mask, cast({name} & 63 as int)) & 1") == 1).drop(name, f"{name}_word", f"{name}_mask")
-
-
 def frequent(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> DataFrame:
     """(h): the hashes of all phrases of up to ``max_n`` words that occur ``least`` times or more in a language, and by chance of a few others.
 

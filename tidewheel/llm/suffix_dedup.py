@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import text as tx
+from tidewheel.llm.marks import Marks
 from tidewheel.llm.scratch import Scratch
 from tidewheel.llm.tables import table
 
@@ -326,7 +327,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     found = work.store(find_spans(keyed, length, gram), "spans")
     # Sums that are joined back are stored first: then Spark can split the spans of a hot anchor among tasks.
     often = work.store(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
-    shared = work.store(found.join(often, "anchor", "left_semi"), "shared")
+    # Most spans have an anchor of their own: a map of bits leaves them out before the rest is shuffled, and the join is exact.
+    marked = Marks(often.select(F.col("anchor").alias("h"))).passed(found, F.col("anchor"), "mark")
+    shared = work.store(marked.join(often.hint("merge"), "anchor", "left_semi"), "shared")
     work.release("spans", "often")
     first = [F.first(c).alias(c) for c in ("id", "row", "first", "windows")]
     classes = work.store(shared.groupBy("anchor", "span").agg(F.count("*").alias("m"), *first), "classes")
