@@ -277,6 +277,15 @@ def test_fuzzy_links_at_the_threshold_share_a_band(spark):
     assert [p for p in want if of[p[0]] != of[p[1]]] == []
 
 
+def test_fuzzy_query_has_a_row_for_each_row(spark, tmp_path):
+    rows = [(1, "one text of id one\nand a second line"), (1, "another text of the same id"), (None, "a text without an id\nwith two lines"), (None, "one more without an id"), (2, "twice the same row\nof two lines")] + [(2, "twice the same row\nof two lines"), (3, None), (None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = fuzzy_lines.op5_fuzzy_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, [x.line_no for x in r.lines]) for r in got) == sorted((i is None, i or 0, list(range(len(t.split("\n")))) if t else []) for i, t in rows)
+    assert all((r.n_lines, r.n_kept) == (len(r.lines), sum(x.kept for x in r.lines)) for r in got)
+    assert sum(r.kept_chars for r in got) == sum(len(x) for _, t in rows for x in (t or "").split("\n"))
+
+
 def test_fuzzy_query_has_every_document_and_class(spark, tmp_path):
     texts = ["one line\n\nanother line", None, "", " \n\t", "One  line"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -2,7 +2,7 @@
 
 Each task sorts the suffixes of its documents (a shard of a few MB at a time)
 and looks up every test suffix by binary search.  The test set is what is
-sent to the tasks, in blocks of a checked size; documents are never shuffled.
+sent to the tasks: whole up to a checked size, in which case documents are never shuffled, and beyond it block after block.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm import text as tx
+from tidewheel.llm.scratch import Scratch
 from tidewheel.llm.tables import Aside, table
 
 #: Words of a window.
@@ -131,19 +132,47 @@ def scanned(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
     """
     spark = docs.sparkSession
     held = Aside(docs, ("n_words", "n_hit", "matches"))
+    at = held.of(text)
     items = items.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = held.df.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "matches": F.array().cast(T.ArrayType(MATCH))})
+    test = lambda part: spark.sparkContext.broadcast(TestSuffixes([(r[0], r[1].encode()) for r in part.sort("item_id", "text").toLocalIterator()], window))
+    none = F.array().cast(T.ArrayType(MATCH))
     schema = T.StructType([*held.df.schema.fields, *ADDED])
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        test = TestSuffixes([(r[0], r[1].encode()) for r in part.sort("item_id", "text").toLocalIterator()], window)
-        shared = spark.sparkContext.broadcast(test)
-        out = out.mapInArrow(_scanner(shared, held.of(text)), schema)
+    if blocks == 1:
+        out, last = held.df.withColumn("matches", none), test(items)
+    else:
+        out, last = held.df.withColumn("matches", none), test(items.limit(0))
+        found = _in_blocks(held.df.select(F.col(at).alias("text")), items, blocks, test)
+        one, two = F.xxhash64(at), F.xxhash64(F.lit(1), F.col(at))
+        out = held.df.join(found, (one == F.col("_one")) & (two == F.col("_two")), "left").withColumn("matches", F.coalesce("_found", none)).drop("_one", "_two", "_found")
+    zero = F.lit(0).cast("long")
+    out = out.select(*held.df.columns, zero.alias("n_words"), zero.alias("n_hit"), "matches").mapInArrow(_scanner(last, at), schema)
     return held.back(out, "n_words", "n_hit", "matches")
 
 
+def _in_blocks(texts: DataFrame, items: DataFrame, blocks: int, test) -> DataFrame:
+    """(_one, _two, _found): the matches of each different text that has any, by two hashes of it.
+
+    One block of the test set is sent out at a time, its matches are stored, and it is taken back before the next: driver and
+    tasks hold one block whatever the size of the test set.
+    """
+    work = Scratch(texts.sparkSession)
+    zero = F.lit(0).cast("long")
+    rows = texts.where("text is not null").select("text", zero.alias("n_words"), zero.alias("n_hit"), F.array().cast(T.ArrayType(MATCH)).alias("matches"))
+    found = None
+    for b in range(blocks):
+        sent = test(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b))
+        hits = rows.mapInArrow(_scanner(sent, "text"), T.StructType([T.StructField("text", T.StringType()), *ADDED])).where("n_hit > 0")
+        hits = work.store(hits.select(F.xxhash64("text").alias("_one"), F.xxhash64(F.lit(1), F.col("text")).alias("_two"), "matches"), f"block{b}")
+        sent.destroy()
+        once = hits.groupBy("_one", "_two").agg(F.first("matches").alias("matches"))
+        found = once if found is None else found.unionByName(once)
+    found = work.store(found.groupBy("_one", "_two").agg(F.flatten(F.collect_list("matches")).alias("_found")), "matches")
+    work.release(*[f"block{b}" for b in range(blocks)])
+    return found
+
+
 def _scanner(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value
@@ -173,6 +202,7 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each row of ``documents`` shares with ``benchmark``. Nulls, ties and repeats as in ``scanned``."""
     found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

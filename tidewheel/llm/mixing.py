@@ -88,6 +88,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of ``documents``. Nulls, ties and repeats as in ``copies``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 

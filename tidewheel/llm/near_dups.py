@@ -241,6 +241,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, t
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every row of ``documents``. Nulls, ties and repeats as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -198,5 +198,6 @@ def judged(docs: DataFrame, text: str = "text", cut: float = CUT, with_text: boo
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every row of ``documents``. Nulls, ties and repeats as in ``judged``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judged(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

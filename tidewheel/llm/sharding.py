@@ -99,6 +99,7 @@ def assigned(docs: DataFrame, limit: int = LIMIT, step: int = STEP, key: str = "
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every row of ``documents``. Nulls, ties and repeats as in ``assigned``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.octet_length("text").cast("long"))
     return assigned(docs).select("doc_id", "n_bytes", "shard", "shard_bytes", "over_limit")
 

@@ -362,6 +362,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of ``documents``, by doc_id and text. Nulls, ties and repeats as in ``repeats``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bytes_ = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     all_ = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), F.octet_length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("whole"))

@@ -148,6 +148,7 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, otherwise
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every row of ``pages``. Nulls, ties and repeats as in ``judged``."""
     return judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
