@@ -93,3 +93,31 @@ def with_tape(bars: DataFrame, tape: DataFrame, names: list[str]) -> DataFrame:
     before = bars.withColumn("_p", F.lag(TIME).over(order))
     right = tape.select(F.col(KEY).alias("_s"), F.col(TIME).alias("_t"), *names)
     return before.join(right, (F.col(KEY) == F.col("_s")) & (F.col("_p") == F.col("_t")), "left").drop("_s", "_t", "_p")
+
+
+def as_of(rows: DataFrame, right: DataFrame, names: list[str], tolerance: int | None = None, part: str = "month", at: str | None = None) -> DataFrame:
+    """``rows`` of (symbol, ts) with the columns of the last row of ``right`` (symbol, ts) at or before them, null if it is more than ``tolerance`` seconds older.
+
+    Both sides are laid together and the last value is carried on, in windows of a symbol and a ``part`` of time, so a long
+    history is many tasks; what a part starts with is the last value of the parts before, of which there are few.  Of rows of ``right`` at one
+    time the greatest counts.  Rows without a time or a symbol get nulls.  ``at`` names a column for the time of the row that was met.
+    """
+    names_ = [f"_v{k}" for k in range(len(names))]
+    value = F.struct(F.col(TIME).alias("_at"), *[F.col(n).alias(v) for n, v in zip(names, names_, strict=True)])
+    slot = lambda t: F.date_trunc(part, t).cast("timestamp_ntz")
+    known = right.where(F.col(KEY).isNotNull() & F.col(TIME).isNotNull()).groupBy(KEY, TIME).agg(F.max(value).alias("_value"))
+    known = known.select(F.col(KEY).alias("_s"), F.col(TIME).alias("_t"), "_value")
+    left = rows.select(F.struct(*rows.columns).alias("_row"), F.col(KEY).alias("_s"), F.col(TIME).alias("_t"))
+    both = left.unionByName(known, allowMissingColumns=True).withColumn("_slot", slot(F.col("_t")))
+    # A value of the same time comes before the row.
+    order = Window.partitionBy("_s", "_slot").orderBy("_t", F.col("_value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last("_value", ignorenulls=True).over(order)).where("_row is not null")
+    ends = known.groupBy("_s", slot(F.col("_t")).alias("_slot")).agg(F.max_by("_value", "_t").alias("_end"))
+    needed = left.select("_s", slot(F.col("_t")).alias("_slot")).distinct()
+    carried = needed.join(ends, ["_s", "_slot"], "full_outer").withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy("_s").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.where("_before is not null").select(F.col("_s").alias("_cs"), F.col("_slot").alias("_cslot"), "_before")
+    met = both.join(carried, (F.col("_s") == F.col("_cs")) & (F.col("_slot") == F.col("_cslot")), "left").withColumn("_met", F.coalesce("_last", "_before"))
+    if tolerance is not None:
+        seconds = lambda x: F.unix_micros(F.col(x).cast("timestamp")) / 1_000_000
+        met = met.withColumn("_met", F.when(seconds("_t") - seconds("_met._at") <= tolerance, F.col("_met")))
+    return met.select("_row.*", *[F.col(f"_met.{v}").alias(n) for n, v in zip(names, names_, strict=True)], *([F.col("_met._at").alias(at)] if at else []))
