@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import text as tx
-from tidewheel.llm.marks import Marks
 from tidewheel.llm.scratch import Scratch
 from tidewheel.llm.tables import table
 
@@ -327,9 +326,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     found = work.store(find_spans(keyed, length, gram), "spans")
     # Sums that are joined back are stored first: then Spark can split the spans of a hot anchor among tasks.
     often = work.store(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
-    # Most spans have an anchor of their own: a map of bits leaves them out before the rest is shuffled, and the join is exact.
-    marked = Marks(often.select(F.col("anchor").alias("h"))).passed(found, F.col("anchor"), "mark")
-    shared = work.store(marked.join(often.hint("merge"), "anchor", "left_semi"), "shared")
+    shared = work.store(found.join(often.hint("merge"), "anchor", "left_semi"), "shared")
     work.release("spans", "often")
     first = [F.first(c).alias(c) for c in ("id", "row", "first", "windows")]
     classes = work.store(shared.groupBy("anchor", "span").agg(F.count("*").alias("m"), *first), "classes")
@@ -341,9 +338,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     shard = F.when(F.col("hot"), F.xxhash64("anchor", F.pmod("span", parts))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     opened = opened.withColumn("shard", shard)
     at = F.collect_list(F.struct("anchor", "span", "shard", "hot", "first", "windows")).alias("at")
-    once = _with(keyed, work.store(shared.select("id", "row").distinct(), "holders"), "left_semi")
-    once = work.store(once.groupBy("id", "row").agg(F.first("text").alias("text")), "held")
-    cut = cut_spans(_with(once, opened.groupBy("id", "row").agg(at), "inner").select("text", "at"), length)
+    # Texts are dealt out twice, to have spans cut and to have repeats removed; rows that share id and text are one.
+    once = keyed
+    if keyed.groupBy("id", "row").agg(F.count("*").alias("m")).where("m > 1").limit(1).count():
+        once = work.store(keyed.groupBy("id", "row").agg(F.first("text").alias("text")), "held")
+    cut = cut_spans(_with(once, work.store(opened.groupBy("id", "row").agg(at), "cuts").hint("merge"), "inner").select("text", "at"), length)
     judged = work.store(cut.groupBy("shard").applyInPandas(_shard(length), SHARD), "judged")
     hits = judged.where("size(runs) > 0").select("anchor", "span", "runs")
     windows = judged.where("digest is not null")
@@ -355,8 +354,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     alike = classes.where("m > 1").select("anchor", "span", F.array(F.lit(0), F.col("windows")).alias("runs"))
     hits = hits.join(classes.where("m = 1").select("anchor", "span"), ["anchor", "span"], "left_semi").unionByName(alike)
     hits = work.store(hits, "hits")
-    work.release("classes", "groups", "judged", "holders")
-    rows = shared.join(hits, ["anchor", "span"]).groupBy("id", "row").agg(F.collect_set(F.struct("first", "runs")).alias("hits"))
+    work.release("classes", "groups", "judged", "cuts")
+    rows = shared.join(hits, ["anchor", "span"]).groupBy("id", "row").agg(F.collect_set(F.struct("first", "runs")).alias("hits")).hint("merge")
     kind = docs.schema[key].dataType.simpleString()
     return _with(once, rows, "inner").mapInArrow(_removed(length), f"id {kind}, row long, removed array<struct<start:int,end:int>>, kept binary")
 
