@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import exprs as x
-from tidewheel.operators import labels, model
+from tidewheel.operators import explain, folds, labels, model, training
 from tidewheel.plans.config import DEFAULT
-from tidewheel.queries.base import c, hourly, query, shown
+from tidewheel.queries.base import c, daily, hourly, query, shown
 from tidewheel.queries.trading import fresh, with_range
 
 FEATURES = ["body", "range", "gap", "change"]
 
 
-def prepared(s, d) -> DataFrame:
-    """Labelled hourly bars with four plain features."""
-    df = labels.triple_barrier(with_range(hourly(s, d)), DEFAULT)
+def prepared(s, d, bars=hourly) -> DataFrame:
+    """Labelled bars with four plain features."""
+    df = labels.triple_barrier(with_range(bars(s, d)), DEFAULT)
     return df.withColumns({"body": c("close") - c("open"), "range": c("high") - c("low"), "gap": x.ratio(c("close") - x.sma("close", 20), x.deviation("close", 20)), "change": x.diff("close", 3)})
 
 
@@ -43,3 +43,29 @@ def feature_importance(s, d):
     """How much each feature matters to a small model's log loss."""
     rows = prepared(s, d).where("label >= 0")
     return model.importance(model.train_boosted(rows, FEATURES, rounds=2, depth=2), rows, FEATURES)
+
+
+def walked(s, d) -> training.WalkForward:
+    """Boosted trees walked forward over seven years of daily bars: three years to train, one to judge, then a year on."""
+    rows = prepared(s, d, daily)
+    cuts = folds.walk_forward(rows, 36, 12, 12, DEFAULT.horizon)
+    return training.walk_forward(training.stored_folds(rows, cuts, FEATURES, f"{fresh(s, 'folds')}/table"), FEATURES, rounds=6, depth=2)
+
+
+@query("oof_stack")
+def oof_stack(s, d):
+    """Predictions of all folds, each by a model that has seen nothing of its time."""
+    return walked(s, d).predictions
+
+
+@query("walk_forward_report")
+def walk_forward_report(s, d):
+    """Rounds, loss and accuracy of each fold."""
+    return walked(s, d).report()
+
+
+@query("tree_attributions")
+def tree_attributions(s, d):
+    """What each feature adds to the margins of a boosted model, ranked for each class."""
+    rows = prepared(s, d).where("label >= 0")
+    return explain.ranked(explain.attributions(model.train_boosted(rows, FEATURES, rounds=2, depth=2), rows, FEATURES), FEATURES)
