@@ -28,7 +28,7 @@ from tidewheel.llm.tables import table
 #: Bytes of a repeated string, and of the strings among which anchors are chosen.
 LENGTH, GRAM = 200, 64
 #: Bytes of spans in a shard, and spans of one anchor that a shard takes at most.
-SHARD_BYTES, SHARD_SPANS = 4 << 20, 4096
+SHARD_BYTES, SHARD_SPANS = 2 << 20, 4096
 #: Texts are hashed in groups of so many bytes.
 HASH_BYTES = 1 << 20
 
@@ -286,20 +286,23 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_, kept = [], []
-            for data, hits in zip(tx.texts_of(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
-                at = sorted((x["first"] + r[k], x["first"] + r[k + 1] - 1 + length) for x in hits for r in [x["runs"]] for k in range(0, len(r), 2))
-                cut: list[dict] = []
-                for a, b in at:
-                    if cut and a <= cut[-1]["end"]:
-                        cut[-1]["end"] = max(cut[-1]["end"], b)
-                    else:
-                        cut.append({"start": a, "end": b})
-                ends = [0, *[c["end"] for c in cut]]
-                kept.append(b"".join(data[e:s] for e, s in zip(ends, [*[c["start"] for c in cut], len(data)], strict=True)))
-                spans_.append(cut)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(spans_, kind), pa.array(kept, pa.binary())], ["id", "row", "removed", "kept"])
+            texts = tx.texts_of(batch.column("text"))
+            for first, last in tx.groups(texts):
+                spans_, kept = [], []
+                for data, hits in zip(texts[first:last], batch.column("hits").slice(first, last - first).to_pylist(), strict=True):
+                    at = sorted((x["first"] + r[k], x["first"] + r[k + 1] - 1 + length) for x in hits for r in [x["runs"]] for k in range(0, len(r), 2))
+                    cut: list[dict] = []
+                    for a, b in at:
+                        if cut and a <= cut[-1]["end"]:
+                            cut[-1]["end"] = max(cut[-1]["end"], b)
+                        else:
+                            cut.append({"start": a, "end": b})
+                    ends = [0, *[c["end"] for c in cut]]
+                    kept.append(b"".join(data[e:s] for e, s in zip(ends, [*[c["start"] for c in cut], len(data)], strict=True)))
+                    spans_.append(cut)
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                own = [batch.column(c).slice(first, last - first) for c in ("id", "row")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(spans_, kind), pa.array(kept, pa.binary())], ["id", "row", "removed", "kept"])
 
     return run
 
