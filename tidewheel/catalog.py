@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.queries import charts, feeds, kit, learning, live, series, trading  # noqa: F401
+from tidewheel.queries import charts, feeds, kit, learning, live, series, trading, zones  # noqa: F401
 from tidewheel.queries.base import ORACLES, QUERIES
 
 
