@@ -8,7 +8,7 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewheel.features import context, events, momentum, statistics
+from tidewheel.features import context, events, momentum, statistics, volatility, volume
 from tidewheel.functions.exprs import indexed
 from tidewheel.operators import bars as ops
 from tidewheel.operators import recursive
@@ -187,41 +187,57 @@ def event_directional(s, d):
     return numbers(events.directional(based(s, d), DEFAULT), *ADX_MEMORY)
 
 
-EVENT_SQUEEZE = f"""e0 AS (SELECT *, (bar % 7 = 0)::INT AS fire, (bar % 7 IN (3, 4, 5))::INT AS sq, close - open AS m FROM b),
- e1 AS (SELECT *, sum(fire) {SOFAR} AS fires, CASE WHEN sq = 0 AND {lag('sq')} = 1 THEN 3 END AS ended FROM e0)"""
+#: Squeeze state and momentum from bars: the state of bands within bands, and the end of a line fitted to where the close stands.
+SQUEEZES = f"""t0 AS (SELECT *, {TR} AS tr, close - (({full('max', 'high', 20)} + {full('min', 'low', 20)}) / 2 + {full('avg', 'close', 20)}) / 2 AS off FROM b),
+ t1 AS (SELECT *, {full('avg', 'close', 20)} AS bm, {full('stddev_pop', 'close', 20)} AS bs, {full('avg', 'tr', 20)} AS br, CASE WHEN count(off) {over(20)} = 20 THEN list(off) {over(20)} END AS offs FROM t0),
+ t2 AS (SELECT *, 4 * bs / nullif(bm, 0) * 100 AS bw, coalesce(bm + 2 * bs < bm + 1.5 * br AND bm - 2 * bs > bm - 1.5 * br, false) AS inside, 3 * list_sum(list_transform(offs, lambda v, i: v * i)) / 210 - 2 * list_avg(offs) AS m FROM t1),
+ sz AS (SELECT *, (NOT inside AND coalesce({lag('inside')}, false))::INT AS fire, inside::INT AS sq FROM t2)"""
+EVENT_SQUEEZE = f"e1 AS (SELECT *, sum(fire) {SOFAR} AS fires, CASE WHEN sq = 0 AND {lag('sq')} = 1 THEN 1 END AS ends FROM sz), e2 AS (SELECT *, bar - max(CASE WHEN sq = 0 THEN bar END) {SOFAR} AS run FROM e1), e3 AS (SELECT *, CASE WHEN ends = 1 THEN coalesce({lag('run')}, {lag('bar')}) END AS ended FROM e2)"
 SQUEEZE_MEMORY = {"squeeze_bars_since_fire": since("fire = 1"), "squeeze_count_200": full("sum", "fire", 200), "squeeze_momentum_at_fire": f"last_value(CASE WHEN fire = 1 THEN m END IGNORE NULLS) {SOFAR}", "squeeze_mom_peak_since_fire": "max(abs(m)) OVER (PARTITION BY symbol, fires ORDER BY ts)", "squeeze_duration_last": f"last_value(ended IGNORE NULLS) {SOFAR}"}
 
 
-@query("event_squeeze", f"WITH {HOURLY}, {EVENT_SQUEEZE} {select(SQUEEZE_MEMORY, 'e1')}")
+def squeezed(df):
+    """Bars with volatility and squeeze momentum."""
+    return momentum.squeeze_momentum(volatility.volatility(df, DEFAULT), DEFAULT)
+
+
+@query("event_squeeze", f"WITH {HOURLY}, {SQUEEZES}, {EVENT_SQUEEZE} {select(SQUEEZE_MEMORY, 'e3')}")
 def event_squeeze(s, d):
-    """Squeezes of three bars and a release every seventh bar: a schedule that SQL can state."""
-    at = c("bar") % 7
-    df = hourly(s, d).withColumns({"squeeze_state": F.when(at == 0, 1).when(at.isin(3, 4, 5), -1).otherwise(0), "squeeze_momentum": c("close") - c("open")})
-    return numbers(events.squeeze(df, DEFAULT), *SQUEEZE_MEMORY)
+    """What is remembered of squeezes of hourly bars: releases, momentum at them and since, lengths."""
+    return numbers(events.squeeze(squeezed(based(s, d)), DEFAULT), *SQUEEZE_MEMORY)
 
 
 LAGGED = {
     "rsi_5bar_ago": lag("rsi", 5), "wt1_slope_5bar": f"(wt1 - {lag('wt1', 5)}) / 5", "adx_slope_5bar": f"(adx - {lag('adx', 5)}) / 5", "atr_slope_5bar": f"(atr - {lag('atr', 5)}) / nullif({lag('atr', 5)}, 0) * 100",
     "volume_slope_5bar": f"(v3 - {lag('v3', 5)}) / nullif({lag('v3', 5)}, 0) * 100", "di_spread_change_5bar": f"di_plus - di_minus - {lag('di_plus - di_minus', 5)}",
+    "vwap_slope_5bar": f"(vw - {lag('vw', 5)}) / nullif({lag('vw', 5)}, 0) * 100", "squeeze_mom_slope": f"(m - {lag('m', 3)}) / 3",
 }
+PRICED = "sum((high + low + close) / 3 * volume) OVER d / nullif(sum(volume) OVER d, 0) AS vw"
+TODAY = "WINDOW d AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("lagged_dynamics", f"WITH RECURSIVE {series(HOURLY, ('rsi', 'wt1', 'adx', 'atr'))}, k AS (SELECT *, {full('avg', 'volume', 3)} AS v3 FROM v) {select(LAGGED, 'k')}")
+@query("lagged_dynamics", f"WITH RECURSIVE {series(HOURLY, ('rsi', 'wt1', 'adx', 'atr'))}, {SQUEEZES}, k AS (SELECT v.*, sz.m, {full('avg', 'v.volume', 3).replace('BY symbol ORDER BY ts', 'BY v.symbol ORDER BY v.ts')} AS v3 FROM v JOIN sz ON sz.symbol = v.symbol AND sz.bar = v.bar), y AS (SELECT *, {PRICED} FROM k {TODAY}) {select(LAGGED, 'y')}")
 def lagged_dynamics(s, d):
-    df = momentum.directional(based(s, d), DEFAULT).withColumns({"vwap_daily": c("close"), "squeeze_momentum": c("close")})
+    df = volume.vwap(squeezed(momentum.directional(based(s, d), DEFAULT)), DEFAULT)
     return numbers(context.lagged(df, DEFAULT), *LAGGED)
 
 
-REGIME = f"""k AS (SELECT *, coalesce(adx > 25 AND abs(di_plus - di_minus) > 10, false) AS trending, coalesce(adx < 20, false) AS ranging, {full('sum', 'atr', 14)} / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0) AS q FROM v),
- g AS (SELECT *, CASE WHEN trending THEN 1 WHEN ranging THEN 4 ELSE 0 END AS g FROM k), n AS (SELECT *, coalesce(g <> {lag('g')}, true) AS fresh FROM g)"""
-REGIMES = {"regime_trending": "trending::INT", "regime_ranging": "ranging::INT", "bars_in_current_regime": f"bar - max(CASE WHEN fresh THEN bar END) {SOFAR} + 1", "choppiness_index": "CASE WHEN q > 0 THEN 100 * log10(q) / log10(14) END"}
+def percentile(x: str, values: str, n: int) -> str:
+    """The rank of x among the last n values, in percent; ties share their mean rank."""
+    return f"CASE WHEN len({values}) = {n} THEN (len(list_filter({values}, lambda q: q < {x})) + (len(list_filter({values}, lambda q: q = {x})) + 1) / 2.0::DOUBLE) / {n} * 100 END"
+
+
+REGIME = f"""k0 AS (SELECT v.*, sz.bw FROM v JOIN sz ON sz.symbol = v.symbol AND sz.bar = v.bar), k1 AS (SELECT *, list(bw) FILTER (bw IS NOT NULL) {over(100)} AS bws, list(atr) FILTER (atr IS NOT NULL) {over(DEFAULT.atr_rank)} AS atrs FROM k0),
+ k2 AS (SELECT *, {percentile('bw', 'bws', 100)} AS bp, {percentile('atr', 'atrs', DEFAULT.atr_rank)} AS ap, {full('sum', 'atr', 14)} / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0) AS q FROM k1),
+ k AS (SELECT *, coalesce(adx > 25 AND abs(di_plus - di_minus) > 10, false) AS trending, coalesce(adx < 20 AND bp < 30, false) AS ranging, coalesce(ap > 80, false) AS volatile, coalesce(ap < 20, false) AS quiet FROM k2),
+ g AS (SELECT *, CASE WHEN trending THEN 1 WHEN volatile THEN 2 WHEN quiet THEN 3 WHEN ranging THEN 4 ELSE 0 END AS g FROM k), n AS (SELECT *, coalesce(g <> {lag('g')}, true) AS fresh FROM g)"""
+REGIMES = {"regime_trending": "trending::INT", "regime_ranging": "ranging::INT", "regime_volatile": "volatile::INT", "regime_quiet": "quiet::INT", "bars_in_current_regime": f"bar - max(CASE WHEN fresh THEN bar END) {SOFAR} + 1", "choppiness_index": "CASE WHEN q > 0 THEN 100 * log10(q) / log10(14) END"}
 
 
-@query("market_regime", f"WITH RECURSIVE {series(HOURLY, ('adx', 'atr'))}, {REGIME} {select(REGIMES, 'n')}")
+@query("market_regime", f"WITH RECURSIVE {series(HOURLY, ('adx', 'atr'))}, {SQUEEZES}, {REGIME} {select(REGIMES, 'n')}")
 def market_regime(s, d):
-    """Regimes by trend strength, with band and range ranks held in the middle."""
-    df = based(s, d).withColumns({"bb_width_percentile": F.lit(10.0), "atr_percentile": F.lit(50.0)})
-    return numbers(statistics.regime(df, DEFAULT), *REGIMES)
+    """Regimes by trend strength and the ranks of band width and true range."""
+    return numbers(statistics.regime(volatility.volatility(based(s, d), DEFAULT), DEFAULT), *REGIMES)
 
 
 WEEKS = f"""{DAILY.replace('b AS (', 'days AS (', 1)}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM (SELECT symbol, date_trunc('week', ts)::TIMESTAMP AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume FROM days GROUP BY 1, 2))"""
