@@ -86,3 +86,30 @@ def report(trades: DataFrame) -> DataFrame:
 def position_size(balance: Column, risk: float, entry: Column, stop: Column, most: float) -> Column:
     """Units whose loss at the stop is a share of the balance, capped by a share of it in value."""
     return F.least(F.try_divide(balance * risk, F.abs(entry - stop)), F.try_divide(balance * most, entry))
+
+
+def managed(trades: DataFrame, capital: float = 10_000.0, risk: float = 0.02, most: float = 0.10, day_loss: float = 0.05, day_trades: int = 7) -> DataFrame:
+    """``trades`` that don't overlap, with taken, value, profit and capital of an account for each symbol and scheme.
+
+    A position risks ``risk`` of the account's capital at its stop and is worth ``most`` of it at most.  Once a day's trades have lost ``day_loss`` of what
+    the day began with, or were ``day_trades``, the day's further ones are left out.  A trade counts for the day of its entry.  The state goes from trade to trade, so
+    an account's trades are one group; accounts run in parallel.
+    """
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("entry_idx", kind="stable").reset_index(drop=True)
+        # What position_size gives, as a share of the balance.
+        share = (risk * t["entry_price"] / (t["entry_price"] - t["sl_price"]).abs()).clip(upper=most).fillna(0.0)
+        have, today, began, made, n = capital, None, capital, 0.0, 0
+        rows = []
+        for day, part, net in zip(t["entry_ts"].dt.date, share, t["net_return"], strict=True):
+            if day != today:
+                today, began, made, n = day, have, 0.0, 0
+            taken = made > -day_loss * began and n < day_trades
+            value = have * part if taken else 0.0
+            have, made, n = have + value * net, made + value * net, n + taken
+            rows.append((taken, value, value * net, have))
+        return t.join(pd.DataFrame(rows, columns=["taken", "value", "profit", "capital"], index=t.index))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema] + ["taken boolean", "value double", "profit double", "capital double"])
+    return trades.groupBy(KEY, "scheme").applyInPandas(run, schema)

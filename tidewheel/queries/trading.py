@@ -263,6 +263,19 @@ def no_stack_trades(s, d):
     return t.select("symbol", "scheme", "entry_idx", "side", "exit_idx", "exit_reason", "exit_price", "gross_return", "net_return")
 
 
+SIZED = f"""{GREEDY}, q AS (SELECT *, gross - 0.0011 AS net, least(0.02::DOUBLE * close / sl, 0.1::DOUBLE) AS share, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY symbol, scheme ORDER BY bar) AS k FROM w WHERE scheme IN ('atr_4_2', 'pct_0p5_0p25')),
+ acc(symbol, scheme, k, bar, day, began, made, n, taken, value, profit, capital) AS (SELECT symbol, scheme, k, bar, day, 10000::DOUBLE, 10000 * share * net, 1, true, 10000 * share, 10000 * share * net, 10000 + 10000 * share * net FROM q WHERE k = 1
+ UNION ALL SELECT symbol, scheme, k, bar, day, b0, m0 + v * net, n0 + t::INT, t, v, v * net, capital + v * net FROM (SELECT *, CASE WHEN t THEN capital * share ELSE 0 END AS v FROM (SELECT *, m0 > -0.002::DOUBLE * b0 AND n0 < 2 AS t FROM (
+   SELECT q.symbol, q.scheme, q.k, q.bar, q.day, q.share, q.net, acc.capital, CASE WHEN q.day = acc.day THEN acc.began ELSE acc.capital END AS b0, CASE WHEN q.day = acc.day THEN acc.made ELSE 0 END AS m0, CASE WHEN q.day = acc.day THEN acc.n ELSE 0 END AS n0 FROM acc JOIN q ON q.symbol = acc.symbol AND q.scheme = acc.scheme AND q.k = acc.k + 1))))"""
+
+
+@query("managed_risk", f"WITH RECURSIVE {HOURLY}, {SIZED} SELECT symbol, scheme, bar::BIGINT AS entry_idx, taken, {r6('value')} AS value, {r6('profit')} AS profit, {r6('capital')} AS capital FROM acc")
+def managed_risk(s, d):
+    """Accounts that risk 2 % a trade, 10 % at most, two trades a day and 0.2 % a day."""
+    t = backtest.no_stack(backtest.exits(signals(s, d), ("atr_4_2", "pct_0p5_0p25")))
+    return backtest.managed(t, day_loss=0.002, day_trades=2).select("symbol", "scheme", "entry_idx", "taken", "value", "profit", "capital")
+
+
 @query("equity_drawdown", f"""WITH RECURSIVE {HOURLY}, {GREEDY}, q AS (SELECT *, product(1 + (gross - 0.0011)) OVER o AS eq FROM w WINDOW o AS (PARTITION BY symbol, scheme ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  k AS (SELECT *, max(eq) OVER (PARTITION BY symbol, scheme ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk FROM q) SELECT symbol, scheme, bar::BIGINT AS entry_idx, {r6('eq')} AS equity, {r6('eq / pk - 1')} AS drawdown FROM k WHERE scheme LIKE 'pct%'""")
 def equity_drawdown(s, d):
