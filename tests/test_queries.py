@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 from tidewheel import catalog
+from tidewheel.operators import model
+from tidewheel.queries import learning, trading
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +29,57 @@ def test_same_as_sql(spark, sf, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.5e-6)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"feature_matrix"}))
-def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() >= 0
+def test_every_other_query_is_held_by_a_test():
+    """Queries without SQL, each with the test of its values."""
+    held = {"feature_matrix": "test_loops", "fractal_measures": "test_loops", "swing_ratio": "test_loops", "price_channels": "test_zones", "clustered_trend": "test_zones", "lorentzian_neighbours": "test_zones"}
+    here = {"seeded_sample", "label_permutation", "out_of_time", "saved_model", "feature_importance", "oof_stack", "walk_forward_report", "tree_attributions"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == set(held) | here
+
+
+def test_zones_and_neighbours_have_values(spark, sf):
+    trend = catalog.QUERIES["clustered_trend"](spark, sf).toPandas()
+    assert trend["cluster_factor"].dropna().between(1, 5).all() and trend["cluster_factor"].notna().mean() > 0.5
+    votes = catalog.QUERIES["lorentzian_neighbours"](spark, sf).toPandas()
+    assert votes["lorentzian_vote"].abs().max() <= 8 and set(votes["lorentzian_signal"]) == {-1.0, 0.0, 1.0}
+    zones = catalog.QUERIES["price_channels"](spark, sf).toPandas()
+    assert (zones["top"] >= zones["bottom"]).all() and zones["rank"].between(1, 6).all()
+    by = zones.sort_values(["symbol", "ts", "rank"])
+    assert (by.groupby(["symbol", "ts"])["strength"].diff().dropna() <= 0).all()
+
+
+def test_sample_and_permutation(spark, sf):
+    rows = catalog.QUERIES["seeded_sample"](spark, sf).toPandas()
+    bars = catalog.QUERIES["bars_1h"](spark, sf).toPandas()
+    assert len(rows) == 100 == len(rows.drop_duplicates(["symbol", "ts"])) and len(rows.merge(bars, on=["symbol", "ts", "close"])) == 100
+    made = trading.probabilities(spark, sf).groupBy("symbol", "label").count().toPandas()
+    dealt = catalog.QUERIES["label_permutation"](spark, sf).groupBy("symbol", "label").count().toPandas()
+    key = ["symbol", "label", "count"]
+    assert made[key].sort_values(key).values.tolist() == dealt[key].sort_values(key).values.tolist()
+
+
+def test_models(spark, sf):
+    rows = learning.prepared(spark, sf).where("label >= 0").cache()
+    fitted = model.train_boosted(rows, learning.FEATURES, rounds=2, depth=2)
+    key = ["symbol", "ts"]
+    saved = catalog.QUERIES["saved_model"](spark, sf).toPandas().sort_values(key).reset_index(drop=True)
+    own = model.scored(fitted, rows, learning.FEATURES).select(*key, *model.P).toPandas().sort_values(key).reset_index(drop=True)
+    assert (saved[list(model.P)] - own[list(model.P)]).abs().max().max() < 1e-5
+    assert ((own[list(model.P)].sum(axis=1) - 1).abs() < 1e-9).all()
+    found = {r.feature: r.importance for r in catalog.QUERIES["feature_importance"](spark, sf).collect()}
+    assert set(found) == set(learning.FEATURES) and all(abs(v) < 1 for v in found.values()) and max(found.values()) > 0
+    one = {r.feature: r.importance for r in model.importance(fitted, rows, learning.FEATURES, block=1).collect()}
+    assert all(abs(one[f] - found[f]) < 1e-5 for f in found)
+    assert model.importance(fitted, rows, learning.FEATURES[:1] + learning.FEATURES[1:], most=50).count() == len(learning.FEATURES)
+    future = catalog.QUERIES["out_of_time"](spark, sf).toPandas()
+    assert (future["part"] == "future").all() and (future["n"] > 0).all() and future[["raw_log_loss", "log_loss"]].stack().between(0, 40).all()
+
+
+def test_walk_forward_queries(spark, sf):
+    stack = catalog.QUERIES["oof_stack"](spark, sf).toPandas()
+    assert not stack.duplicated(["symbol", "ts", "fold"]).any() and stack["fold"].nunique() >= 2
+    assert ((stack[["p0", "p1", "p2"]].sum(axis=1) - 1).abs() < 1e-5).all() and stack["label"].between(0, 2).all()
+    report = catalog.QUERIES["walk_forward_report"](spark, sf).toPandas()
+    assert set(report["fold"]) == set(stack["fold"]) and report["rounds"].between(1, 6).all()
+    assert report.set_index("fold")["n"].to_dict() == stack.groupby("fold").size().to_dict()
+    shares = catalog.QUERIES["tree_attributions"](spark, sf).toPandas()
+    assert set(shares["feature"]) == set(learning.FEATURES) and (shares.groupby("class")["cum_share"].max().sub(1).abs() < 1e-5).all()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -102,37 +103,46 @@ def calibrated(models: list, rows: DataFrame) -> DataFrame:
     return rows.withColumns({p: c(f"_q{k}") / whole for k, p in enumerate(P)}).drop(*[f"_q{k}" for k in range(len(P))])
 
 
-def out_of_time(rows: DataFrame, features: list[str], train_share: float = 0.6, fit_share: float = 0.2, purge: int = 48, trainer=train_boosted, **how) -> DataFrame:
+def out_of_time(rows: DataFrame, features: list[str], train_share: float = 0.6, fit_share: float = 0.2, purge: int = 48, trainer=train_boosted, cut: Callable[[DataFrame], DataFrame] = lambda df: df, **how) -> DataFrame:
     """(symbol, part, n, raw_log_loss, log_loss): a model and its calibration from a symbol's past, judged on its future.
 
     The first ``train_share`` of each symbol's bars (by ``bar``) fits the model, the next ``fit_share`` its calibration,
     the rest is the future; ``purge`` bars at each border are left out, as their labels look ahead.
+    ``cut`` may store the rows (a function that writes a table and reads it back), so that they are computed once for all fits and scorings.
     """
     at = (c("bar") - 1) / F.max("bar").over(Window.partitionBy("symbol"))
     gap = F.lit(float(purge)) / F.max("bar").over(Window.partitionBy("symbol"))
     second = train_share + fit_share
     part = F.when(at < train_share, "train").when((at >= F.lit(train_share) + gap) & (at < second), "fit").when(at >= F.lit(second) + gap, "future")
-    rows = rows.where("label >= 0").withColumn("part", part).where("part is not null")
+    rows = cut(rows.where("label >= 0").withColumn("part", part).where("part is not null").select("symbol", "ts", "label", "part", *features))
     model = trainer(rows.where("part = 'train'"), features, **how)
-    raw = scored(model, rows, features)
+    raw = cut(scored(model, rows.where("part <> 'train'"), features))
     sharp = calibrated(calibrators(raw.where("part = 'fit'")), raw.where("part = 'future'"))
     both = log_loss(raw.where("part = 'future'"), ["symbol"]).withColumnRenamed("log_loss", "raw_log_loss")
     return both.join(log_loss(sharp, ["symbol"]).drop("n"), "symbol").select("symbol", F.lit("future").alias("part"), "n", "raw_log_loss", "log_loss")
 
 
-def importance(model, rows: DataFrame, features: list[str], seed: int = 0) -> DataFrame:
+def importance(model, rows: DataFrame, features: list[str], seed: int = 0, block: int = 16, most: int | None = None) -> DataFrame:
     """(feature, importance): how much the log loss grows when a feature is dealt anew among the rows.
 
-    One pass: rows meet the row that is drawn for them once, each is scored once per feature with that one value
-    exchanged, and the losses are averaged by feature.
+    Rows meet the row that is drawn for them once; then each is scored once per feature with that one value
+    exchanged, ``block`` features at a time, and the losses are averaged by feature.  So a row is never there more than ``block`` times, however many features there are.
+    ``most`` limits the rows to those of least seeded hash: an estimate, whose bound is this parameter; by default all count.
     """
+    if most is not None:
+        rows = rows.orderBy(F.xxhash64("symbol", "ts", F.lit(seed + 1)), "symbol", "ts").limit(most)
     base = log_loss(scored(model, rows, features)).first()[0]
     at, drawn = Window.partitionBy("symbol").orderBy("ts"), Window.partitionBy("symbol").orderBy(F.xxhash64("symbol", "ts", F.lit(seed)), "ts")
     right = rows.select(c("symbol").alias("_s"), F.struct(*features).alias("_v"), F.row_number().over(drawn).alias("_q"))
     mixed = rows.withColumn("_r", F.row_number().over(at)).join(right, (c("symbol") == c("_s")) & (c("_r") == c("_q")))
-    mixed = mixed.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    mixed = mixed.withColumns({f: F.when(c("feature") == f, c(f"_v.{f}")).otherwise(c(f)) for f in features}).drop("_s", "_v", "_q", "_r")
-    return log_loss(scored(model, mixed, features), ["feature"]).select("feature", (c("log_loss") - F.lit(float(base))).alias("importance"))
+    out = None
+    for k in range(0, len(features), block):
+        part = features[k : k + block]
+        each = mixed.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in part])))
+        each = each.withColumns({f: F.when(c("feature") == f, c(f"_v.{f}")).otherwise(c(f)) for f in part}).drop("_s", "_v", "_q", "_r")
+        found = log_loss(scored(model, each, features), ["feature"]).select("feature", (c("log_loss") - F.lit(float(base))).alias("importance"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def contributions(model, rows: DataFrame, features: list[str]) -> DataFrame:

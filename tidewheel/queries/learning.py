@@ -26,7 +26,14 @@ def prepared(s, d, bars=hourly) -> DataFrame:
 @query("out_of_time")
 def out_of_time(s, d):
     """Boosted trees fitted on each symbol's first bars, calibrated on the next, judged on the last."""
-    return model.out_of_time(prepared(s, d), FEATURES, rounds=3, depth=2)
+    base, n = fresh(s, "future"), iter(range(9))
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{base}/table-{next(n)}"
+        df.write.parquet(path)
+        return s.read.schema(df.schema).parquet(path)
+
+    return model.out_of_time(prepared(s, d), FEATURES, rounds=3, depth=2, cut=cut)
 
 
 @query("saved_model")
