@@ -166,7 +166,32 @@ def test_neighbours_like_a_loop(spark, chunk):
             assert got[s, i + 1] == (float(sum(votes)), signal), (s, i, chunk)
 
 
+@pytest.mark.parametrize(("n", "last"), [(2, 3), (3, 6), (4, 2)])
+def test_trend_lines_like_all_pairs(n, last):
+    rng = np.random.default_rng(n)
+    close = np.cumsum(rng.normal(size=250)) + np.arange(250) * 0.05
+    low = close - rng.random(250) * (rng.random(250) < 0.7)
+    pivots = np.array([low[i] if n <= i < 250 - n and low[i] == low[i - n : i + n + 1].min() else np.nan for i in range(250)])
+    value, slope = zones.lines(pivots, close, n, last)
+    found = 0
+    for i in range(250):
+        known = [k for k in range(i - n + 1) if not np.isnan(pivots[k])][-last:]
+        want = None
+        for a in reversed(range(1, len(known))):
+            for b in range(a):
+                x1, x2 = known[a], known[b]
+                m = (pivots[x1] - pivots[x2]) / (x1 - x2)
+                if m > 0 and all(close[k] >= pivots[x2] + m * (k - x2) - 1e-9 for k in range(x2, i + 1)):
+                    want = want or (pivots[x2] + m * (i - x2), m)
+        if want is None:
+            assert np.isnan(value[i]) and np.isnan(slope[i])
+        else:
+            found += 1
+            assert abs(value[i] - want[0]) < 1e-9 and abs(slope[i] - want[1]) < 1e-12
+    assert found > 20
+
+
 def test_empty_bars(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert zones.order_blocks(none).count() == 0 and zones.channels(none).count() == 0 and zones.swing_zones(none, none, 60).count() == 0
+    assert zones.order_blocks(none).count() == 0 and zones.channels(none).count() == 0 and zones.trend_lines(none).count() == 0 and zones.swing_zones(none, none, 60).count() == 0
     assert learned.clustered_trend(none).count() == 0 and learned.neighbours(none, ["close"]).count() == 0

@@ -1,7 +1,10 @@
-"""Price zones: order blocks until they are broken, swing zones with what was traded in them, and support and resistance channels."""
+"""Price zones: order blocks until they are broken, swing zones with what was traded in them, support and resistance channels, trend lines."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,3 +117,75 @@ def channels(bars: DataFrame, n: int = 10, back: int = 290, share: float = 0.05,
             yield pd.DataFrame(out, columns=[KEY, TIME, "rank", "strength", "top", "bottom"])
 
     return frames.mapInPandas(run, f"{KEY} string, {TIME} timestamp_ntz, rank int, strength double, top double, bottom double")
+
+
+class Hull:
+    """The lower convex hull of points that come in the order of x, so that the lowest point under any slope is found by bisection."""
+
+    def __init__(self):
+        self.points: list[tuple[float, float]] = []
+        self.slopes: list[float] = []  # of the edges, growing
+
+    def add(self, x: float, y: float) -> None:
+        while self.points:
+            px, py = self.points[-1]
+            slope = (y - py) / (x - px)
+            if not self.slopes or slope > self.slopes[-1]:
+                self.slopes.append(slope)
+                break
+            self.points.pop()
+            self.slopes.pop()
+        self.points.append((x, y))
+
+    def least(self, slope: float) -> float:
+        """The least of y - slope * x."""
+        x, y = self.points[bisect_left(self.slopes, slope)]
+        return y - slope * x
+
+
+def lines(pivots: np.ndarray, close: np.ndarray, n: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, slope) of the rising line below the closes at each place, NaN where none holds.
+
+    ``pivots`` has a low's value where it stands (else NaN); it is known ``n`` places later.  A line goes through two of the ``last`` known ones, and no close
+    since the older may lie below it; the newest later pivot counts first, and with it the oldest earlier one.
+    """
+    value, slope = np.full(len(close), np.nan), np.full(len(close), np.nan)
+    known: deque[tuple[int, float, Hull]] = deque(maxlen=last)
+    for i, price in enumerate(close.tolist()):
+        for _, _, hull in known:
+            hull.add(i, price)
+        at = i - n
+        if at >= 0 and not np.isnan(pivots[at]):
+            hull = Hull()
+            for k in range(at, i + 1):
+                hull.add(k, close[k])
+            known.append((at, float(pivots[at]), hull))
+        for p1, p2 in ((a, b) for a in range(len(known) - 1, 0, -1) for b in range(a)):
+            (x1, y1, _), (x2, y2, hull) = known[p1], known[p2]
+            m = (y1 - y2) / (x1 - x2)
+            if m > 0 and hull.least(m) >= y2 - m * x2 - 1e-9:
+                value[i], slope[i] = y2 + m * (i - x2), m
+                break
+    return value, slope
+
+
+def trend_lines(bars: DataFrame, n: int = 20, last: int = 3) -> DataFrame:
+    """``bars`` with support_line, support_slope (rising, below every close since its first pivot), and resistance_line and resistance_slope, mirrored.
+
+    Pivots are extremes of ``n`` bars on either side (ties count).  Closes since a pivot are a convex hull, so a line is checked by one bisection instead of against each of them.
+    """
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(INDEX, kind="stable").reset_index(drop=True)
+        out = {}
+        for name, sign, edge in (("support", 1.0, "low"), ("resistance", -1.0, "high")):
+            x = sign * b[edge]
+            pivot = x.where(x == x.rolling(2 * n + 1, center=True, min_periods=2 * n + 1).min())
+            value, slope = lines(pivot.to_numpy(), sign * b["close"].to_numpy(), n, last)
+            out |= {f"{name}_line": sign * value, f"{name}_slope": sign * slope}
+        return b.assign(**out)
+
+    names = [f"{k}_{x}" for k in ("support", "resistance") for x in ("line", "slope")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"{x} double" for x in names])
+    made = bars.groupBy(KEY).applyInPandas(run, schema)
+    return made.withColumns({x: F.when(~F.isnan(x), c(x)) for x in names})

@@ -51,6 +51,21 @@ def liquidity_zones(s, d):
     return zones.swing_zones(hourly(s, d), minutes, 3600, N)
 
 
+def line_sql(name: str, edge: str, sign: int) -> str:
+    """CTEs up to ``name``(symbol, bar, line, slope): for each bar the first pair of known pivots whose line no close crosses."""
+    y, close = f"{sign} * {edge}", f"{sign} * x.close"
+    return f"""{name}0 AS (SELECT symbol, bar - {N} AS pb, bar AS known, {sign} * {lag(edge, N)} AS y FROM b QUALIFY count({edge}) {over(2 * N + 1)} = {2 * N + 1} AND {lag(y, N)} = min({y}) {over(2 * N + 1)}),
+ {name}1 AS (SELECT b.symbol, b.bar, p.pb, p.y, row_number() OVER (PARTITION BY b.symbol, b.bar ORDER BY p.known DESC) AS k FROM b JOIN {name}0 p ON p.symbol = b.symbol AND p.known <= b.bar QUALIFY k <= 3),
+ {name}2 AS (SELECT u.symbol, u.bar, u.k AS k1, v.k AS k2, v.pb, v.y, (u.y - v.y) / (u.pb - v.pb) AS m FROM {name}1 u JOIN {name}1 v ON v.symbol = u.symbol AND v.bar = u.bar AND v.k > u.k WHERE u.y > v.y),
+ {name} AS (SELECT symbol, bar, {sign} * (y + m * (bar - pb)) AS line, {sign} * m AS slope FROM {name}2 q WHERE NOT EXISTS (SELECT 1 FROM b x WHERE x.symbol = q.symbol AND x.bar BETWEEN q.pb AND q.bar AND {close} < q.y + q.m * (x.bar - q.pb) - 1e-9) QUALIFY row_number() OVER (PARTITION BY symbol, bar ORDER BY k1, k2 DESC) = 1)"""
+
+
+@query("trend_lines", f"WITH {HOURLY}, {line_sql('su', 'low', 1)}, {line_sql('re', 'high', -1)} SELECT b.symbol, b.ts, {', '.join(f'{r6(f"{k}.{x}")} AS {n}_{x}' for k, n in (('su', 'support'), ('re', 'resistance')) for x in ('line', 'slope'))} FROM b LEFT JOIN su ON su.symbol = b.symbol AND su.bar = b.bar LEFT JOIN re ON re.symbol = b.symbol AND re.bar = b.bar")
+def trend_lines(s, d):
+    """Trend lines of hourly bars through two of the last three pivots that no close since has crossed."""
+    return shown(zones.trend_lines(hourly(s, d), N), "support_line", "support_slope", "resistance_line", "resistance_slope")
+
+
 @query("price_channels")
 def price_channels(s, d):
     """Support and resistance channels of daily bars; a loop holds them in the tests."""
