@@ -46,29 +46,29 @@ def gram(at: Column, n: int) -> Column:
     return F.xxhash64("lang", *[F.get("words", at + k) for k in range(n)])
 
 
-def frequent(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> DataFrame:
-    """(h): the hashes of all phrases of up to ``max_n`` words that occur ``least`` times or more in a language, and by chance of a few others.
+def frequent(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> list[Marks]:
+    """For each number of words up to ``max_n`` the map of phrases that occur ``least`` times or more in a language, by their hashes.
 
     Level by level: phrases of which a part of one word less isn't frequent are left out before they are counted.
     """
-    found, last = None, None
+    levels: list[Marks] = []
     for n in range(1, max_n + 1):
         rows = placed(pieces, n)
-        if last is not None:
-            marks = Marks(last)
-            rows = marks.passed(rows, gram(F.col("i"), n - 1), "front")
-            rows = marks.passed(rows, gram(F.col("i") + 1, n - 1), "back")
-        last = work.store(rows.select(gram(F.col("i"), n).alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("h"), f"level{n}")
-        found = last if found is None else found.unionByName(last)
-    return found
+        if levels:
+            rows = levels[-1].passed(rows, gram(F.col("i"), n - 1), "front")
+            rows = levels[-1].passed(rows, gram(F.col("i") + 1, n - 1), "back")
+        often = rows.select(gram(F.col("i"), n).alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("h")
+        levels.append(Marks(work.store(often, f"level{n}")))
+    return levels
 
 
 def counted(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> DataFrame:
     """(lang, n, phrase, f): all phrases of up to ``max_n`` words with ``least`` occurrences or more, counted by their text."""
-    marks = Marks(frequent(pieces, max_n, least, work))
-    rows = placed(pieces, 1).select("lang", "words", "i", F.explode(F.sequence(F.lit(1), F.least(F.size("words") - F.col("i"), F.lit(max_n)))).alias("n"))
-    h = F.coalesce(*[F.when(F.col("n") == n, gram(F.col("i"), n)) for n in range(1, max_n + 1)])
-    rows = marks.passed(rows, h, "gram").select("lang", "n", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("phrase"))
+    rows = None
+    for n, marks in enumerate(frequent(pieces, max_n, least, work), 1):
+        own = marks.passed(placed(pieces, n), gram(F.col("i"), n), "gram")
+        own = own.select("lang", F.lit(n).alias("n"), F.concat_ws(" ", *[F.get("words", F.col("i") + k) for k in range(n)]).alias("phrase"))
+        rows = own if rows is None else rows.unionByName(own)
     return rows.groupBy("lang", "n", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
 
 
