@@ -198,3 +198,76 @@ def with_series(bars: DataFrame, make, cfg, names: list[str] | None = None) -> D
 
     made = bars.groupBy(KEY).applyInPandas(run, schema)
     return made.withColumns({n: F.when(F.isnan(n), None).otherwise(F.col(n)) for n in names})
+
+
+def range_filter(close: pd.Series, n: int = 100, mult: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """(filter, direction): a line that stays put while the close is within a smoothed range of it; direction is that of its last move."""
+    width = (mult * ema(ema(close.diff().abs(), n), 2 * n - 1)).to_numpy()
+    x = close.to_numpy()
+    line, side = np.full(len(x), np.nan), np.zeros(len(x))
+    last, way = np.nan, 0.0
+    for i in range(len(x)):
+        if np.isnan(width[i]):
+            continue
+        new = x[i] if np.isnan(last) else max(last, x[i] - width[i]) if x[i] > last else min(last, x[i] + width[i])
+        way = way if np.isnan(last) or new == last else float(np.sign(new - last))
+        last = line[i] = new
+        side[i] = way
+    return line, side
+
+
+def half_trend(b: pd.DataFrame, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(line, trend 0 up or 1 down): the trend turns when the mean of the other edge leaves the extreme that it has held, and the close the last bar.
+
+    The line of the running side only moves with its trend; after a turn it starts from where the other side's was.
+    """
+    high, low, close = (b[x].to_numpy() for x in ("high", "low", "close"))
+    top, bottom = b["high"].rolling(n).max().to_numpy(), b["low"].rolling(n).min().to_numpy()
+    high_mean, low_mean = b["high"].rolling(n).mean().to_numpy(), b["low"].rolling(n).mean().to_numpy()
+    line, side = np.full(len(b), np.nan), np.full(len(b), np.nan)
+    if not len(b):
+        return line, side
+    # held: the extreme that the next turn is judged by; the wait for a turn down holds a low, that for one up a high.
+    trend, waits_down, held_low, held_high = 0, False, low[0], high[0]
+    for i in range(n - 1, len(b)):
+        before = i - 1 if i else 0
+        turned = False
+        if waits_down:
+            held_low = max(bottom[i], held_low)
+            if high_mean[i] < held_low and close[i] < low[before]:
+                turned, trend, waits_down, held_high = trend != 1, 1, False, top[i]
+        else:
+            held_high = min(top[i], held_high)
+            if low_mean[i] > held_high and close[i] > high[before]:
+                turned, trend, waits_down, held_low = trend != 0, 0, True, bottom[i]
+        last = line[i - 1] if i else np.nan
+        if not turned:
+            edge = held_high if trend else held_low
+            last = edge if np.isnan(last) else min(edge, last) if trend else max(edge, last)
+        line[i], side[i] = last, trend
+    return line, side
+
+
+def strength_trail(close: pd.Series, n: int = 6, smooth: int = 5, mult: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """(line, trend): a trailing line behind the smoothed RSI, at a distance of its smoothed steps; it turns where the RSI crosses the other side's."""
+    index = ema(rsi(close, n), smooth)
+    gap = (mult * ema(ema(index.diff().abs(), 2 * n - 1), 2 * n - 1)).to_numpy()
+    x = index.to_numpy()
+    line, trend = np.full(len(x), np.nan), np.zeros(len(x))
+    lower = upper = lower1 = upper1 = np.nan  # of the bar before, and of the one before that
+    way = 1.0
+    for i in range(len(x)):
+        if np.isnan(gap[i]):
+            continue
+        new_lower, new_upper = x[i] - gap[i], x[i] + gap[i]
+        if not np.isnan(lower):
+            crossed = lambda a, b, a1, b1: (a > b and a1 <= b1) or (a < b and a1 >= b1)
+            if crossed(x[i], upper, x[i - 1], upper1):
+                way = 1.0
+            elif crossed(lower, x[i], lower1, x[i - 1]):
+                way = -1.0
+            new_lower = max(lower, new_lower) if x[i - 1] > lower and x[i] > lower else new_lower
+            new_upper = min(upper, new_upper) if x[i - 1] < upper and x[i] < upper else new_upper
+        lower1, upper1, lower, upper = lower, upper, new_lower, new_upper
+        line[i], trend[i] = lower if way > 0 else upper, way
+    return line, trend

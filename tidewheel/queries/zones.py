@@ -1,13 +1,16 @@
-"""Zones of price and indicators that learn."""
+"""Zones of price, indicators that learn, and further trails."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewheel.features import learned, zones
 from tidewheel.functions import exprs as x
+from tidewheel.operators import recursive
 from tidewheel.operators.bars import from_ticks
-from tidewheel.queries.base import HOURLY, SOFAR, c, daily, hourly, lag, over, query, r6, shown, table
+from tidewheel.plans.config import DEFAULT
+from tidewheel.queries.base import HOURLY, LAG, SOFAR, c, daily, hourly, lag, over, query, r6, shown, table
 from tidewheel.queries.kit import TR
 
 N = 5
@@ -97,3 +100,62 @@ def lorentzian_neighbours(s, d):
     """What followed the most similar of the last 500 hourly bars; a loop holds it in the tests."""
     bars = hourly(s, d).withColumns({"f1": x.ratio(c("close") - x.sma("close", 20), x.deviation("close", 20)), "f2": x.diff("close", 3) / c("close"), "f3": (c("high") - c("low")) / c("close")})
     return shown(learned.neighbours(bars, ["f1", "f2", "f3"], back=500, chunk=1000), "lorentzian_vote", "lorentzian_signal")
+
+
+RF_N = 20
+FILTER = f"""p AS (SELECT *, abs(close - {lag('close')}) AS d FROM b),
+ r(symbol, ts, bar, close, e1, e2) AS (SELECT symbol, ts, bar, close, d, NULL::DOUBLE FROM p WHERE bar = 2 UNION ALL SELECT symbol, ts, bar, close, n1, CASE WHEN bar = {RF_N + 1} THEN n1 ELSE e2 + 1.0::DOUBLE / {RF_N} * (n1 - e2) END
+   FROM (SELECT p.symbol, p.ts, p.bar, p.close, r.e2, r.e1 + 2.0::DOUBLE / {RF_N + 1} * (p.d - r.e1) AS n1 FROM r JOIN p ON p.symbol = r.symbol AND p.bar = r.bar + 1)),
+ f(symbol, bar, line, way) AS (SELECT symbol, bar, close, 0::DOUBLE FROM r WHERE bar = {3 * RF_N - 1} UNION ALL SELECT symbol, bar, new, CASE WHEN new = line THEN way ELSE sign(new - line) END
+   FROM (SELECT r.symbol, r.bar, f.line, f.way, CASE WHEN r.close > f.line THEN greatest(f.line, r.close - 2 * r.e2) ELSE least(f.line, r.close + 2 * r.e2) END AS new FROM f JOIN r ON r.symbol = f.symbol AND r.bar = f.bar + 1))"""
+
+
+@query("range_filter", f"WITH RECURSIVE {HOURLY}, {FILTER} SELECT b.symbol, b.ts, {r6('f.line')} AS filter, coalesce(f.way, 0) AS direction FROM b LEFT JOIN f ON f.symbol = b.symbol AND f.bar = b.bar")
+def range_filter(s, d):
+    """A line that follows the close at a distance of its smoothed steps."""
+
+    def make(b, g):
+        line, side = recursive.range_filter(b["close"], RF_N, 2.0)
+        return {"filter": pd.Series(line), "direction": pd.Series(side)}
+
+    return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "filter", "direction")
+
+
+HALF = f"""e AS (SELECT *, max(high) {over(2)} AS top, min(low) {over(2)} AS bot, avg(high) {over(2)} AS hm, avg(low) {over(2)} AS lm, {lag('low')} AS l1, {lag('high')} AS h1, first_value(low) {LAG} AS l0, first_value(high) {LAG} AS h0 FROM b),
+ h(symbol, bar, trend, down, hl, hh, line) AS (SELECT symbol, bar, 0, false, l0, h0, NULL::DOUBLE FROM e WHERE bar = 1
+ UNION ALL SELECT symbol, bar, CASE WHEN td THEN 1 WHEN tu THEN 0 ELSE trend END, CASE WHEN td THEN false WHEN tu THEN true ELSE down END, CASE WHEN tu THEN bot ELSE kl END, CASE WHEN td THEN top ELSE kh END,
+   CASE WHEN (td AND trend = 0) OR (tu AND trend = 1) THEN line WHEN td OR (NOT tu AND trend = 1) THEN least(CASE WHEN td THEN top ELSE kh END, line) ELSE greatest(CASE WHEN tu THEN bot ELSE kl END, line) END
+   FROM (SELECT *, down AND hm < kl AND close < l1 AS td, NOT down AND lm > kh AND close > h1 AS tu FROM (SELECT e.*, h.trend, h.down, h.line, CASE WHEN h.down THEN greatest(e.bot, h.hl) ELSE h.hl END AS kl, CASE WHEN h.down THEN h.hh ELSE least(e.top, h.hh) END AS kh FROM h JOIN e ON e.symbol = h.symbol AND e.bar = h.bar + 1)))"""
+
+
+@query("half_trend", f"WITH RECURSIVE {HOURLY}, {HALF} SELECT b.symbol, b.ts, {r6('h.line')} AS line, CASE WHEN b.bar > 1 THEN h.trend END::DOUBLE AS trend FROM b LEFT JOIN h ON h.symbol = b.symbol AND h.bar = b.bar")
+def half_trend(s, d):
+    """Trends that turn when means of highs or lows leave the extreme held so far."""
+
+    def make(b, g):
+        line, side = recursive.half_trend(b)
+        return {"line": pd.Series(line), "trend": pd.Series(side)}
+
+    return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "line", "trend")
+
+
+CROSS = "(({0} > {1} AND {2} <= {3}) OR ({0} < {1} AND {2} >= {3}))"
+#: RSI of 6 from bar 7 on, its mean of 5 from bar 11 on, steps of it from bar 12 on, their means of 11 from bars 22 and 32 on.
+TRAIL = f"""p AS (SELECT *, close - {lag('close')} AS st FROM b),
+ r(symbol, bar, u, v, x, e1, e2, x1) AS (SELECT symbol, bar, greatest(st, 0), greatest(-st, 0), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM p WHERE bar = 2
+ UNION ALL SELECT symbol, bar, nu, nv, nx, n1, CASE WHEN bar = 22 THEN n1 WHEN bar > 22 THEN e2 + 1.0::DOUBLE / 6 * (n1 - e2) END, x FROM (SELECT *, CASE WHEN bar = 12 THEN abs(nx - x) WHEN bar > 12 THEN e1 + 1.0::DOUBLE / 6 * (abs(nx - x) - e1) END AS n1
+   FROM (SELECT *, CASE WHEN bar = 7 THEN rs WHEN bar > 7 THEN x + 1.0::DOUBLE / 3 * (rs - x) END AS nx FROM (SELECT *, 100 - 100 / (1 + nu / nullif(nv, 0)) AS rs FROM (SELECT p.symbol, p.bar, r.u + 1.0::DOUBLE / 6 * (greatest(p.st, 0) - r.u) AS nu, r.v + 1.0::DOUBLE / 6 * (greatest(-p.st, 0) - r.v) AS nv, r.x, r.e1, r.e2 FROM r JOIN p ON p.symbol = r.symbol AND p.bar = r.bar + 1))))),
+ q(symbol, bar, lo, up, lo1, up1, way) AS (SELECT symbol, bar, x - 3 * e2, x + 3 * e2, NULL::DOUBLE, NULL::DOUBLE, 1 FROM r WHERE bar = 32
+ UNION ALL SELECT r.symbol, r.bar, CASE WHEN r.x1 > q.lo AND r.x > q.lo THEN greatest(q.lo, r.x - 3 * r.e2) ELSE r.x - 3 * r.e2 END, CASE WHEN r.x1 < q.up AND r.x < q.up THEN least(q.up, r.x + 3 * r.e2) ELSE r.x + 3 * r.e2 END, q.lo, q.up,
+   CASE WHEN {CROSS.format('r.x', 'q.up', 'r.x1', 'q.up1')} THEN 1 WHEN {CROSS.format('q.lo', 'r.x', 'q.lo1', 'r.x1')} THEN -1 ELSE q.way END FROM q JOIN r ON r.symbol = q.symbol AND r.bar = q.bar + 1)"""
+
+
+@query("strength_trail", f"WITH RECURSIVE {HOURLY}, {TRAIL} SELECT b.symbol, b.ts, {r6('CASE WHEN q.way > 0 THEN q.lo ELSE q.up END')} AS line, coalesce(q.way, 0)::DOUBLE AS trend FROM b LEFT JOIN q ON q.symbol = b.symbol AND q.bar = b.bar")
+def strength_trail(s, d):
+    """A trailing line behind the smoothed RSI."""
+
+    def make(b, g):
+        line, trend = recursive.strength_trail(b["close"])
+        return {"line": pd.Series(line), "trend": pd.Series(trend)}
+
+    return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "line", "trend")
