@@ -271,3 +271,24 @@ def strength_trail(close: pd.Series, n: int = 6, smooth: int = 5, mult: float =
         lower1, upper1, lower, upper = lower, upper, new_lower, new_upper
         line[i], trend[i] = lower if way > 0 else upper, way
     return line, trend
+
+
+def trend_force(close: pd.Series, n: int = 13, power: int = 3) -> pd.Series:
+    """The force of a trend between -1 and 1: how far a mean and its own mean are apart, times the cube of their joint step, by its extreme of ``n * power`` bars."""
+    fast = ema(close * 1000, n)
+    slow = ema(fast, n)
+    force = (fast - slow).abs() * ((fast.diff() + slow.diff()) / 2) ** power
+    return safe(force, force.abs().rolling(n * power, min_periods=n * power).max())
+
+
+def trend_cycle(close: pd.Series, fast: int = 23, slow: int = 50, cycle: int = 10, smooth: int = 3) -> pd.Series:
+    """The Schaff cycle: where the difference of two means stands in its own range, smoothed, and once more the same of that; 0 to 100.
+
+    A flat range keeps the place before.
+    """
+
+    def place(x: pd.Series) -> pd.Series:
+        low, high = x.rolling(cycle, min_periods=cycle).min(), x.rolling(cycle, min_periods=cycle).max()
+        return (100 * safe(x - low, high - low)).ffill()
+
+    return ema(place(ema(place(ema(close, fast) - ema(close, slow)), smooth)), smooth).clip(0, 100)

@@ -10,7 +10,7 @@ from tidewheel.functions import exprs as x
 from tidewheel.operators import recursive
 from tidewheel.operators.bars import from_ticks
 from tidewheel.plans.config import DEFAULT
-from tidewheel.queries.base import HOURLY, LAG, SOFAR, c, daily, hourly, lag, over, query, r6, shown, table
+from tidewheel.queries.base import HOURLY, LAG, SOFAR, c, daily, full, hourly, lag, over, query, r6, select, shown, table
 from tidewheel.queries.kit import TR
 
 N = 5
@@ -159,3 +159,34 @@ def strength_trail(s, d):
         return {"line": pd.Series(line), "trend": pd.Series(trend)}
 
     return shown(recursive.with_series(hourly(s, d), make, DEFAULT), "line", "trend")
+
+
+FORCE = f"""r(symbol, ts, bar, e1, e2, d1, d2) AS (SELECT symbol, ts, bar, close * 1000, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM b WHERE bar = 1
+ UNION ALL SELECT symbol, ts, bar, n1, n2, n1 - e1, n2 - e2 FROM (SELECT *, CASE WHEN bar = 13 THEN n1 WHEN bar > 13 THEN e2 + 1.0::DOUBLE / 7 * (n1 - e2) END AS n2 FROM (SELECT b.symbol, b.ts, b.bar, r.e1, r.e2, r.e1 + 1.0::DOUBLE / 7 * (b.close * 1000 - r.e1) AS n1 FROM r JOIN b ON b.symbol = r.symbol AND b.bar = r.bar + 1))),
+ f AS (SELECT *, CASE WHEN bar >= 26 THEN abs(e1 - e2) * pow((d1 + d2) / 2, 3) END AS force FROM r)"""
+
+
+@query("trend_force", f"WITH RECURSIVE {HOURLY}, {FORCE} {select({'force': f'force / nullif({full("max", "abs(force)", 39)}, 0)'}, 'f')}")
+def trend_force(s, d):
+    """The trend direction force index."""
+    return shown(recursive.with_series(hourly(s, d), lambda b, g: {"force": recursive.trend_force(b["close"])}, DEFAULT), "force")
+
+
+def placed(x: str, source: str, name: str) -> str:
+    """Where x stands among its last ten values, carried over flat ranges."""
+    return f"{name}0 AS (SELECT *, 100 * ({x} - {full('min', x, 10)}) / nullif({full('max', x, 10)} - {full('min', x, 10)}, 0) AS z FROM {source}), {name} AS (SELECT symbol, ts, bar, last_value(z IGNORE NULLS) {SOFAR} AS z FROM {name}0)"
+
+
+def smoothed(source: str, name: str, first: int) -> str:
+    """A mean of three, seeded at bar ``first`` and shown from its third value on."""
+    return f"{name}0(symbol, ts, bar, e) AS (SELECT symbol, ts, bar, z FROM {source} WHERE bar = {first} UNION ALL SELECT s.symbol, s.ts, s.bar, r.e + 0.5::DOUBLE * (s.z - r.e) FROM {name}0 r JOIN {source} s ON s.symbol = r.symbol AND s.bar = r.bar + 1), {name} AS (SELECT symbol, ts, bar, CASE WHEN bar >= {first + 2} THEN e END AS e FROM {name}0)"
+
+
+CYCLE = f"""m0(symbol, ts, bar, a, c) AS (SELECT symbol, ts, bar, close, close FROM b WHERE bar = 1 UNION ALL SELECT b.symbol, b.ts, b.bar, r.a + 1.0::DOUBLE / 12 * (b.close - r.a), r.c + 2.0::DOUBLE / 51 * (b.close - r.c) FROM m0 r JOIN b ON b.symbol = r.symbol AND b.bar = r.bar + 1),
+ m AS (SELECT *, CASE WHEN bar >= 50 THEN a - c END AS macd FROM m0), {placed('macd', 'm', 'k')}, {smoothed('k', 'd', 59)}, {placed('e', 'd', 'kd')}, {smoothed('kd', 'stc', 70)}"""
+
+
+@query("trend_cycle", f"WITH RECURSIVE {HOURLY}, {CYCLE} SELECT b.symbol, b.ts, {r6('CASE WHEN stc.e IS NOT NULL THEN least(greatest(stc.e, 0), 100) END')} AS cycle FROM b LEFT JOIN stc ON stc.symbol = b.symbol AND stc.bar = b.bar")
+def trend_cycle(s, d):
+    """The Schaff trend cycle."""
+    return shown(recursive.with_series(hourly(s, d), lambda b, g: {"cycle": recursive.trend_cycle(b["close"])}, DEFAULT), "cycle")
