@@ -135,3 +135,11 @@ def test_models_learn_and_calibrate(spark):
     assert imp["f"] > 0.3 > abs(imp["noise"]) + 0.1
     with pytest.raises(ValueError):
         model.train(rows, ["absent"])
+
+
+def test_latest_file_by_number(spark, tmp_path):
+    for name in ("fold_9.txt", "fold_10.txt", "fold_0011.txt", "fold_x.txt", "fold_12.json", "other_99.txt", "fold_.txt"):
+        (tmp_path / name).write_text("x")
+    assert tables.latest_file(spark, f"file://{tmp_path}", "fold_", ".txt").endswith("/fold_0011.txt")
+    assert tables.latest_file(spark, f"file://{tmp_path}", "none_", ".txt") is None
+    assert tables.latest_file(spark, f"file://{tmp_path}/absent", "fold_", ".txt") is None

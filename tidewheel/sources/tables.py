@@ -132,3 +132,17 @@ def parsed_funding(raw: DataFrame, at: Column, column: str = "value") -> DataFra
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def latest_file(spark: SparkSession, path: str, stem: str, ending: str) -> str | None:
+    """The file ``stem``<number>``ending`` of the greatest number (10 after 9) below a path of any store, null if there is none.
+
+    Names are listed by Spark's own file index; contents are not read.
+    """
+    if not exists(spark, path):
+        return None
+    number = F.regexp_extract("path", rf"/\Q{stem}\E(\d+)\Q{ending}\E$", 1)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", f"{stem}*{ending}").load(path).select("path").where(number != "")
+    # Numbers of any length: the longer one without leading zeros is the greater.
+    digits = F.ltrim(number, F.lit("0"))
+    return names.agg(F.max_by("path", F.struct(F.length(digits), digits, "path"))).first()[0]
