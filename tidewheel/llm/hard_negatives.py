@@ -115,6 +115,7 @@ def mined(
     partial = pairs.select("a_tile", "r_tile", "chunk", "node", "a_n", "r_n", *[f"{s}_{c}" for s in "ar" for c in ("cells", "kind", "width")], *KEPT).mapInArrow(_partial, PARTIAL)
     met = partial.repartition(n, "a_tile", "r_tile").sortWithinPartitions("a_tile", "r_tile", "chunk")
     reduced = work.store(met.mapInArrow(lambda batches: _reduced(batches, positives, negatives, percent), REDUCED), "reduced")
+    work.release("tiles")
     anchor = ["home", "place", "anchor_id"]
     same = tiles.tops(reduced.select(*anchor, "node", F.col("same").alias("top")), anchor, positives, nodes, work, "positives")
     same = work.store(same.select(*anchor, F.posexplode("top").alias("nth", "positive")), "same")
@@ -122,7 +123,9 @@ def mined(
     score, most = tiles.score(F.col("positive")), F.col("positive.down")
     fits = lambda e: (e["down"] >= most) & (-e["down"] >= F.ceil(score.cast("decimal(20,0)") * percent / 100).cast("long"))
     lists = reduced.select(*anchor, "node", "other").join(same, anchor).withColumn("top", F.slice(F.array_sort(F.filter("other", fits)), 1, negatives)).where(F.size("top") > 0)
-    found = tiles.tops(work.store(lists.select(*anchor, "nth", "positive", "node", "top"), "windows"), [*anchor, "nth", "positive"], negatives, nodes, work, "negatives")
+    windows = work.store(lists.select(*anchor, "nth", "positive", "node", "top"), "windows")
+    work.release("reduced", "same")
+    found = tiles.tops(windows, [*anchor, "nth", "positive"], negatives, nodes, work, "negatives")
     found = found.select("anchor_id", "positive", F.posexplode("top").alias("rank", "entry"))
     return found.select("anchor_id", F.col("positive.vec_id").alias("positive_id"), (F.col("rank") + 1).alias("rank"), F.col("entry.vec_id").alias("negative_id"), score.alias("positive_score"), tiles.score(F.col("entry")).alias("negative_score"))
 

@@ -106,6 +106,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_n:
     spread = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     over = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     best = work.store(spread.withColumn("rank", over("lang", "part")).where(F.col("rank") <= first).drop("rank", "part"), "best")
+    work.release("pieces", "counted", "fronts", "inner", "scored", *[f"level{n}" for n in range(1, max_n + 1)])
     ranked = best.withColumn("rank", over("lang")).where(F.col("rank") <= first).join(sizes.select(F.col("lang").alias("_lang"), "total"), F.col("lang") == F.col("_lang"))
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), F.col("total").alias("n"), F.col("low.score").alias("score"))
 

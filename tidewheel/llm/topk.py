@@ -70,7 +70,9 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     narrow = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"), F.lit(0).alias("label"))
     pairs, nodes, _ = tiles.met(tiles.packed(narrow, every, ROWS, QUERIES, None, work))
     lists = pairs.mapInArrow(lambda batches: _selected(batches, k), f"home long, place long, query_id long, node long, top {tiles.TOP}")
-    top = tiles.tops(work.store(lists, "lists"), ["home", "place", "query_id"], k, nodes, work, "level")
+    lists = work.store(lists, "lists")
+    work.release("tiles")
+    top = tiles.tops(lists, ["home", "place", "query_id"], k, nodes, work, "level")
     found = top.select("query_id", F.posexplode("top").alias("rank", "entry"))
     return found.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("entry.vec_id").alias("vec_id"), tiles.score(F.col("entry")).alias("score"))
 
