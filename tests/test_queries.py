@@ -8,7 +8,7 @@ import pytest
 
 from tidewheel import catalog
 from tidewheel.operators import model
-from tidewheel.queries import learning, trading
+from tidewheel.queries import base, learning, trading
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,24 @@ def test_same_as_sql(spark, sf, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.5e-6)
 
 
+def test_halves_round_as_in_sql(spark):
+    """Halves of the last decimal that a double holds a little below or above, and what can't be scaled."""
+    values = [s * (k + 0.5) / 10**6 for k in range(0, 200_000, 37) for s in (1, -1)] + [-0.07312249999999998, 0.0, 9.1e15, 1e305, -1e305, float("inf"), None]
+    made = base.rounded(spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k long, x double")).orderBy("k").toPandas()["x"]
+    own = pd.DataFrame({"k": range(len(values)), "x": pd.array(values, "Float64")})
+    wanted = duckdb.sql(f"SELECT {base.r6('x')} AS x FROM own ORDER BY k").df()["x"]
+    pd.testing.assert_series_equal(made, wanted, rtol=0, atol=0)
+
+
+def test_funding_features_to_the_last_digit(spark, sf):
+    """Means of eight rates of five decimals often end on a half of the last decimal."""
+    events = sf.replace("sf0.001", "sf0.01")
+    a = catalog.QUERIES["funding_features"](spark, events).toPandas()
+    b = duckdb.sql(f"WITH events AS (FROM '{events}/events.parquet') SELECT * FROM ({catalog.ORACLES['funding_features']})").df()
+    a, b = (x.sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (a, b))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=0)
+
+
 def test_every_other_query_is_held_by_a_test():
     """Queries without SQL, each with the test of its values."""
     held = {"feature_matrix": "test_loops", "fractal_measures": "test_loops", "swing_ratio": "test_loops", "price_channels": "test_zones", "clustered_trend": "test_zones", "lorentzian_neighbours": "test_zones"}

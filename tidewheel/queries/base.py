@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.exprs import indexed
@@ -45,9 +45,15 @@ DAILY = """b AS (
     GROUP BY symbol, ts))"""
 
 
+def near(x: Column) -> Column:
+    """A double to six decimals as SQL does it: scaled first, so that what a double can't hold exactly (0.0731225) is still a half."""
+    scaled = x * 10.0**DIGITS
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0**DIGITS).otherwise(x)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, minus zero as zero."""
-    return df.select(*[(F.round(n, DIGITS) + F.lit(0.0)).alias(n) if k == "double" else c(n).cast("long").alias(n) if k == "int" else c(n) for n, k in df.dtypes])
+    return df.select(*[(near(c(n)) + F.lit(0.0)).alias(n) if k == "double" else c(n).cast("long").alias(n) if k == "int" else c(n) for n, k in df.dtypes])
 
 
 def query(name: str, sql: str | None = None):
