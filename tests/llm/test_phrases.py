@@ -66,3 +66,12 @@ def test_scores_pass_64_bits(spark):
 def test_empty(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None)], SCHEMA)).count() == 0
+
+
+def test_only_middle_lengths_are_laid_out_twice(spark, monkeypatch):
+    """Single words and the longest phrases are counted in one pass over the pieces."""
+    passes = Counter()
+    placed = phrases.placed
+    monkeypatch.setattr(phrases, "placed", lambda pieces, n: passes.update([n]) or placed(pieces, n))
+    got = phrases.collocations(spark.createDataFrame(rows(), SCHEMA), max_n=4, least=3, percent=70, first=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows(), 4, 3, 70, 5) and passes == {2: 2, 3: 2, 4: 1}

@@ -1,8 +1,8 @@
 """Phrase collocations. DataFrame functions only.
 
 Texts are cut into pieces of words once.  Every n-gram of a piece becomes a row, and rows are counted per language.
-A phrase cannot be counted often unless both phrases of one word less in it are, so before words are put together at all, levels
-of hashes alone are counted: what passes them is counted again, exactly, as text.
+A phrase cannot be counted often unless both phrases of one word less in it are, so only such places are looked at.  Where most phrases
+are rare, hashes alone are counted first, and what passes is counted again, exactly, as text.
 """
 
 from __future__ import annotations
@@ -46,30 +46,40 @@ def gram(at: Column, n: int) -> Column:
     return F.xxhash64("lang", *[F.get("words", at + k) for k in range(n)])
 
 
-def frequent(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> list[Marks]:
-    """For each number of words up to ``max_n`` the map of phrases that occur ``least`` times or more in a language, by their hashes.
+def told(pieces: DataFrame, n: int, shorter: Marks | None) -> DataFrame:
+    """``placed``, without places where a part of one word less isn't marked in ``shorter``."""
+    rows = placed(pieces, n)
+    if shorter is not None:
+        rows = shorter.passed(rows, gram(F.col("i"), n - 1), "front")
+        rows = shorter.passed(rows, gram(F.col("i") + 1, n - 1), "back")
+    return rows
 
-    Level by level: phrases of which a part of one word less isn't frequent are left out before they are counted.
+
+def often(phrases: DataFrame, least: int, *keys: str) -> DataFrame:
+    return phrases.groupBy(*keys).agg(F.count("*").alias("f")).where(F.col("f") >= least)
+
+
+def counted(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lang, n, phrase, f): all phrases of up to ``max_n`` words with ``least`` occurrences or more, counted by their text; and
+    (lang, total): the words of each language.
+
+    Single words are few and counted as they are.  Two words next to each other are mostly rare: their hashes alone are counted first, and those with a
+    frequent hash then as text, like every number of words between.  The longest phrases are counted as text at once, where both their parts passed.
     """
-    levels: list[Marks] = []
-    for n in range(1, max_n + 1):
-        rows = placed(pieces, n)
-        if levels:
-            rows = levels[-1].passed(rows, gram(F.col("i"), n - 1), "front")
-            rows = levels[-1].passed(rows, gram(F.col("i") + 1, n - 1), "back")
-        often = rows.select(gram(F.col("i"), n).alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= least).select("h")
-        levels.append(Marks(work.store(often, f"level{n}")))
-    return levels
-
-
-def counted(pieces: DataFrame, max_n: int, least: int, work: Scratch) -> DataFrame:
-    """(lang, n, phrase, f): all phrases of up to ``max_n`` words with ``least`` occurrences or more, counted by their text."""
-    rows = None
-    for n, marks in enumerate(frequent(pieces, max_n, least, work), 1):
-        own = marks.passed(placed(pieces, n), gram(F.col("i"), n), "gram")
-        own = own.select("lang", F.lit(n).alias("n"), F.concat_ws(" ", *[F.get("words", F.col("i") + k) for k in range(n)]).alias("phrase"))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.groupBy("lang", "n", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    words = work.store(pieces.select("lang", F.explode(F.split("piece", " ")).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f")), "words")
+    found = words.where(F.col("f") >= least).select("lang", F.lit(1).alias("n"), "phrase", "f")
+    marks = Marks(found.select(F.xxhash64("lang", "phrase").alias("h"))) if max_n > 1 else None
+    for n in range(2, max_n + 1):
+        if n == 2 or n < max_n:
+            hashes = often(told(pieces, n, marks).select(gram(F.col("i"), n).alias("h")), least, "h").select("h")
+            marks = Marks(work.store(hashes, f"level{n}"))
+            rows = marks.passed(placed(pieces, n), gram(F.col("i"), n), "gram")
+        else:
+            rows = told(pieces, n, marks)
+        rows = rows.select("lang", F.concat_ws(" ", *[F.get("words", F.col("i") + k) for k in range(n)]).alias("phrase"))
+        own = work.store(often(rows, least, "lang", "phrase"), f"counted{n}")
+        found = found.unionByName(own.select("lang", F.lit(n).alias("n"), "phrase", "f"))
+    return found, work.store(words.groupBy("lang").agg(F.sum("f").alias("total")), "sizes")
 
 
 def score_of(a: Column, l: Column, r: Column) -> Column:
@@ -88,9 +98,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_n:
     """
     work = Scratch(docs.sparkSession)
     pieces = work.store(pieces_of(docs, text, lang), "pieces")
-    sizes = work.store(pieces.groupBy("lang").agg(F.sum(F.size(F.split("piece", " "))).alias("total")), "sizes")
     # Sums that are joined are stored first: then Spark can split a hot part among tasks.
-    f = work.store(counted(pieces, max_n, least, work), "counted")
+    f, sizes = counted(pieces, max_n, least, work)
     cut = f.where("n > 1").select("lang", "phrase", "n", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
     words = F.split("phrase", " ")
     cut = cut.select("*", F.array_join(F.slice(words, F.lit(1), F.col("k")), " ").alias("front"), F.array_join(F.slice(words, F.col("k") + 1, F.col("n")), " ").alias("back"))
@@ -106,7 +115,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_n:
     spread = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     over = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     best = work.store(spread.withColumn("rank", over("lang", "part")).where(F.col("rank") <= first).drop("rank", "part"), "best")
-    work.release("pieces", "counted", "fronts", "inner", "scored", *[f"level{n}" for n in range(1, max_n + 1)])
+    work.release("pieces", "words", "fronts", "inner", "scored", *[f"{name}{n}" for name in ("level", "counted") for n in range(2, max_n + 1)])
     ranked = best.withColumn("rank", over("lang")).where(F.col("rank") <= first).join(sizes.select(F.col("lang").alias("_lang"), "total"), F.col("lang") == F.col("_lang"))
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), F.col("total").alias("n"), F.col("low.score").alias("score"))
 
