@@ -6,11 +6,13 @@ import itertools
 import random
 import re
 import string
+import struct
 import subprocess
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewheel.llm import decontaminate, fuzzy_lines, mixing, near_dups, quality, secrets, sharding, suffix_dedup, urls, warc
@@ -183,6 +185,26 @@ def test_lines_that_share_a_hash_are_told_apart(spark):
     assert root[key[rows[0][2]]] == root[key[rows[2][2]]] and key[rows[1][2]] not in root
 
 
+def test_code_of_buckets_is_short_enough_to_be_compiled(spark, tmp_path):
+    """HotSpot leaves methods of more than 8000 bytes to its interpreter."""
+    made = spark.range(9).select(F.col("id").alias("key"), F.array(*[F.hash("id", F.lit(k)) for k in range(fuzzy_lines.BINS)]).alias("mins"))
+    made.write.parquet(f"{tmp_path}/made")
+    placed = fuzzy_lines.buckets(spark.read.parquet(f"{tmp_path}/made"))
+    parts = placed._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and 0 < max(sizes) <= 8000
+    want = {(r.key, xxhash_of(b, *[r.mins[7 * k + (b + b // 7 * k) % 7] for k in range(5)])) for r in made.collect() for b in range(21)}
+    assert {(r.key, r.bucket) for r in placed.collect()} == want and placed.count() == 9 * 21
+
+
+def xxhash_of(*ints):
+    """Spark's xxhash64 of ints."""
+    h = 42
+    for x in ints:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", x), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def credentials(rng):
     """Made formats, each with a length of its own choice."""
     some = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
